@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, packing, quality, simhash
+from . import ctw, decontaminate, linededup, packing, quality, simhash
 from .common import table
 
 
+def op1_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.LineStore.build(docs).apply(docs)
@@ -44,5 +48,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_quality_rules, op6_best_fit_packing, op8_simhash_near_dedup, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ctw_scores, op4_line_dedup, op5_quality_rules, op6_best_fit_packing, op8_simhash_near_dedup, op10_benchmark_decontamination)}
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
