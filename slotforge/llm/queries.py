@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, linededup, packing, quality, simhash
-from .common import table
+from . import ctw, decontaminate, htmlmain, licenses, linededup, packing, quality, secretscan, simhash, tokenscan
+from .common import table, written
 
 
 def op1_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat token files of all documents are written to the shared folder, then scanned without looking at their manifest."""
+    blocks = written(tokenscan.flat_blocks(table(spark, sf_dir, "documents")), "flat-tokens")
+    return tokenscan.scan(blocks).withColumnRenamed("id", "doc_id")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.LineStore.build(docs).apply(docs)
@@ -39,14 +49,31 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie in folders of a hundred below their source: the corpus has no paths of its own."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.concat(F.lit("d"), F.floor(F.col("doc_id") / 100).cast("string")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", "text", path.alias("path"))).withColumnRenamed("id", "doc_id")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw_scores, op4_line_dedup, op5_quality_rules, op6_best_fit_packing, op8_simhash_near_dedup, op10_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ctw_scores, op2_separator_scan, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_best_fit_packing,
+        op7_html_main_text, op8_simhash_near_dedup, op9_license_scan, op10_benchmark_decontamination,
+    )
+}
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
