@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, written
+from .common import as_bytes, slices, written
 
 WIDTH = 8  #: tokens of a window
 PLAIN = 5  #: tokens of a window that must be words as they stand
@@ -25,6 +26,7 @@ UNITS = frozenset(
 NUMBER_WORDS = frozenset(
     "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 )
+PLACES = frozenset(("<num>", "<unit>", "<name>"))
 _NUMBER = re.compile(r"[+$€£-]*\d[\d.,:/]*(?:%|st|nd|rd|th|[a-z]{1,3})?")
 _EDGE = re.compile(r"^[^\w+$€£-]+|[^\w%]+$")
 
@@ -32,6 +34,8 @@ _EDGE = re.compile(r"^[^\w+$€£-]+|[^\w%]+$")
 def canonical(word: bytes) -> tuple[str, str, str, bool]:
     """(what stands for the word at the start of a sentence, elsewhere, its slot value, whether a sentence ends with it)."""
     text = word.decode("utf-8", "replace")
+    if text.isalpha() and text.islower() and text not in NUMBER_WORDS and text not in UNITS:  # most words
+        return text, text, "", False
     core = _EDGE.sub("", text)
     low = core.lower()
     ends = text.rstrip("\"')]»”").endswith((".", "!", "?", ":"))
@@ -52,55 +56,65 @@ class _Words(dict):
     def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
+        self._reset()
+
+    def _reset(self) -> None:
+        self.clear()
         self.forms: list[tuple[str, str, str, bool]] = []
-        self.hashes: list[tuple[int, int]] = []
+        self.hashes = np.zeros((1024, 2), np.uint64)  # at the start of a sentence, elsewhere
+        self.slots = np.zeros((1024, 2), bool)
+        self.ends = np.zeros(1024, bool)
 
     def __missing__(self, word: bytes) -> int:
         form = canonical(word)
         self[word] = at = len(self.forms)
+        if at == len(self.ends):
+            self.hashes, self.slots, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.slots, self.ends))
         self.forms.append(form)
-        self.hashes.append((xxhash.xxh64_intdigest(form[0]), xxhash.xxh64_intdigest(form[1])))
+        one = xxhash.xxh64_intdigest(form[0])
+        self.hashes[at] = one, one if form[1] == form[0] else xxhash.xxh64_intdigest(form[1])
+        self.slots[at] = form[0] in PLACES, form[1] in PLACES
+        self.ends[at] = form[3]
         return at
 
     def trim(self) -> None:
         if len(self) > self.most:
-            self.clear()
-            self.forms.clear()
-            self.hashes.clear()
+            self._reset()
 
 
-def _windows(words: _Words, text: bytes, widths: list[int], bitmap: np.ndarray | None, whole: bool) -> Iterator[tuple[int, int, int, str, list[str]]]:
-    """(width, position, hash, template, slot values) of the windows with enough plain words that the bitmap may hold."""
-    codes = np.fromiter(map(words.__getitem__, text.split()), np.int64)
+def _windows(words: _Words, texts: list[bytes], widths: list[int], bitmap: np.ndarray | None) -> Iterator[tuple[int, int, int, int, str, list[str]]]:
+    """(text, width, position, hash, template, slot values) of the windows with enough plain words that the bitmap may hold."""
+    split = [t.split() for t in texts]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    codes = np.fromiter(map(words.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
     n = len(codes)
     if n < PLAIN:
         return
-    distinct, local = np.unique(codes, return_inverse=True)
-    hashed = np.array([words.hashes[i] for i in distinct.tolist()], np.uint64)
-    forms = [words.forms[i] for i in distinct.tolist()]
-    starts = np.ones(n, bool)
-    starts[1:] = np.array([f[3] for f in forms])[local[:-1]]
-    slot = np.array([[f[0][:1] == "<" and f[0] in ("<num>", "<unit>"), f[1] in ("<num>", "<unit>", "<name>")] for f in forms])
-    pick = np.where(starts, 0, 1)
-    h, open_ = hashed[local, pick], slot[local, pick]
-    plain = np.concatenate(([0], np.cumsum(~open_)))
+    text = np.repeat(np.arange(len(split)), sizes)
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    later = np.ones(n, np.int64)  # 0 at the start of a sentence
+    later[1:] = ~words.ends[codes[:-1]]
+    later[first[sizes > 0]] = 0
+    h, slot = words.hashes[codes, later], words.slots[codes, later]
+    plain = np.concatenate(([0], np.cumsum(~slot)))
     for width in widths:
-        width = min(width, n) if whole else width
         m = n - width + 1
         if m < 1:
             continue
         mixed = np.full(m, np.uint64(width))
         for j in range(width):
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[j : j + m]
+            mixed *= np.uint64(0x9E3779B97F4A7C15)
+            mixed += h[j : j + m]
             mixed ^= mixed >> np.uint64(31)
-        good = plain[width:] - plain[:m] >= PLAIN
+        good = (plain[width:] - plain[:m] >= PLAIN) & (text[:m] == text[width - 1 :])
         if bitmap is not None:
             good &= bitmap[(mixed >> np.uint64(64 - SLOTS_LOG)).astype(np.int64)]
         for at in np.flatnonzero(good).tolist():
             span = range(at, at + width)
+            forms = [words.forms[codes[i]] for i in span]
             yield (
-                width, at, int(mixed[at].astype(np.int64)), " ".join(forms[local[i]][pick[i]] for i in span),
-                [forms[local[i]][2] for i in span if open_[i]],
+                int(text[at]), width, at - int(first[text[at]]), int(mixed[at].astype(np.int64)),
+                " ".join(f[later[i]] for f, i in zip(forms, span, strict=True)), [f[2] for f, i in zip(forms, span, strict=True) if slot[i]],
             )
 
 
@@ -113,15 +127,13 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[i
         bits = None if packed is None else np.unpackbits(packed.value).astype(bool)
         words = _Words()
         for batch in batches:
-            out: list[tuple] = []
-            for i, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+            ids = batch.column(0).to_pylist()
+            for start, texts in slices(as_bytes(batch.column(1)), 1 if whole else 1_000_000):
                 words.trim()
-                out.extend((i, *w) for w in _windows(words, text or b"", widths, bits, whole))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                wide = [min(w, max(1, len(texts[0].split()))) for w in widths] if whole else widths
+                out = [(ids[start + k], *rest) for k, *rest in _windows(words, texts, wide, bits)]
+                for at in range(0, len(out), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 20_000], strict=True), schema, strict=True)], schema=schema)
 
     picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "id long, width int, pos long, h long, template string, slots array<string>")
