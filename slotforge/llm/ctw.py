@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, slices, written
 
-DEPTH = 5  #: context bytes; a gram is the context and the byte it predicts
-BUCKET_BYTES = 24_000_000  #: text that one task group holds at a time
+DEPTH = 4  #: context bytes; a gram is the context and the byte it predicts
+BUCKET_BYTES = 12_000_000  #: text that one task group holds at a time
 GROUP_GRAMS = 100_000  #: distinct grams that one task group is meant for
 END = b"\n"  #: closes a text, and pads the context before its first byte
 LOG_HALF = float(np.log(0.5))
