@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_bytes, concatenated, slices, written
+from .common import SPACE, as_bytes, concatenated, hashed_sample, slices, written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Statistic: sign of its constraint (-1: a larger value never raises the quality score; +1: never lowers it; 0: free).
@@ -214,7 +214,8 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     left out. None without examples of both kinds.
     """
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
-    sample = stats.where(~base_failed()).join(marked, "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most_rows).select("features", "y").toPandas()
+    examples = stats.where(~base_failed()).join(marked, "id").dropDuplicates(["id"])
+    sample = hashed_sample(examples, most_rows, "id").select("features", "y").toPandas()
     y = sample["y"].to_numpy(float)
     if len(set(y > 0.5)) < 2:
         return None

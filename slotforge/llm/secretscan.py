@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hashed_sample, written
 
 #: A run of 16 or more characters of keys and encodings, with a digit in it.
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
@@ -92,7 +92,7 @@ def seed_labels(found: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame, most_rows: int = 20_000, trees: int = 40, depth: int = 6, seed: int = 7) -> RandomForestClassificationModel | None:
     """A forest over at most ``most_rows`` labelled findings (those with the smallest hash); None unless both kinds occur."""
-    sample = labelled.orderBy(F.xxhash64("id", "ordinal", "finding"), "id", "ordinal", "finding").limit(most_rows).select(*FEATURES, F.col("is_secret").cast("double").alias("label"))
+    sample = hashed_sample(labelled, most_rows, "id", "ordinal", "finding").select(*FEATURES, F.col("is_secret").cast("double").alias("label"))
     sample = sample.cache()
     try:
         if sample.select("label").distinct().limit(2).count() < 2:
