@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from ..functions.arith import np_mix, np_remap
 
-MOST_CELLS = 1 << 20  #: pilots x keys tried in one step
+MOST_CELLS = 1 << 18  #: pilots tried in one step, over all partitions
 MAX_BUCKET = 255
 
 RESULT = "pid long, n long, m long, pilots array<long>, taken array<long>, max_pilot long, empty_buckets long, largest_bucket long, problem string"
@@ -74,23 +74,31 @@ def search(pid: np.ndarray, bucket: np.ndarray, payload: np.ndarray, sizes: dict
             keys = payload[start[row][:, None] + np.arange(k)]
             tried = 0
             free = float(max(1e-9, 1 - (filled[who] / m[who]).max())) ** k
-            width = int(min(max(4, 1.5 / free), max(4, MOST_CELLS // (k * len(who)))))
+            width = int(min(max(4, 1.5 / free), max(4, MOST_CELLS // len(who))))
             while len(who):
                 spread = np_mix(np.arange(tried, tried + width, dtype=np.uint64))
-                slots = np_remap(np_mix(keys[:, None, :] ^ spread[None, :, None]), m[who][:, None, None]).astype(np.int64) + base[who][:, None, None]
-                rows, cols = np.nonzero(~taken[slots].any(axis=2))
-                best = _first_distinct(slots[rows, cols], rows)
+                room, offset = m[who], base[who]
+                seen = np_remap(np_mix(keys[:, 0][:, None] ^ spread[None, :]), room[:, None]).astype(np.int64) + offset[:, None]
+                rows, cols = np.nonzero(~taken[seen])
+                places = [seen[rows, cols]]
+                for j in range(1, k):  # most pilots fail at the first keys already
+                    spot = np_remap(np_mix(keys[rows, j] ^ spread[cols]), room[rows]).astype(np.int64) + offset[rows]
+                    fine = ~taken[spot]
+                    rows, cols = rows[fine], cols[fine]
+                    places = [x[fine] for x in places] + [spot[fine]]
+                slots = np.column_stack(places)
+                best = _first_distinct(slots, rows)
                 if best:
                     got = np.fromiter(best, np.int64, len(best))
                     at = np.fromiter(best.values(), np.int64, len(best))
-                    taken[slots[got, cols[at]].ravel()] = True
+                    taken[slots[at].ravel()] = True
                     pilots[who[got], number[first[who[got]] + r]] = tried + cols[at]
                     left = np.ones(len(who), bool)
                     left[got] = False
                     filled[who[got]] += k
                     who, keys = who[left], keys[left]
                 tried += width
-                width = int(min(width * 2, max(4, MOST_CELLS // (k * max(1, len(who))))))
+                width = int(min(width * 2, max(4, MOST_CELLS // max(1, len(who)))))
                 if tried > max_pilot:
                     for x in who.tolist():
                         problem[x] = "pilot"
