@@ -14,7 +14,7 @@ from ..functions import bucketers, hashing
 from ..functions.arith import mix, remap
 from ..plans import sizing
 from ..plans.config import MphConfig
-from .ranks import free_slots, prefix_sums
+from .ranks import paired, prefix_sums
 from .search import RESULT, kernel
 
 GROUP_KEYS = 1 << 18  #: keys whose partitions advance in lockstep in one task
@@ -162,7 +162,7 @@ def build(df: DataFrame, key_cols: list[str] | str, config: MphConfig | None = N
         pid, bucket, second = key_place(keys, columns, config, seed, partitions, buckets)
         per_group = max(1, GROUP_KEYS * partitions // max(1, n))
         placed = keys.select(pid.alias("pid"), bucket.alias("bucket"), second.alias("payload")).withColumn("part_group", F.floor(F.col("pid") / per_group))
-        work = kernel(sizing.DENSE_SLOTS if dense else None, config.alpha, buckets, config.max_pilot)
+        work = kernel(sizing.DENSE_SLOTS if dense else None, config.alpha, buckets, config.max_pilot, n)
         found = placed.groupBy("part_group").applyInArrow(work, RESULT).persist(StorageLevel.MEMORY_AND_DISK)
         reasons = {r["problem"]: r["count"] for r in found.where("problem is not null").groupBy("problem").count().collect()}  # four kinds at most
         seconds["searching"] = perf_counter() - began
@@ -184,19 +184,23 @@ def build(df: DataFrame, key_cols: list[str] | str, config: MphConfig | None = N
     m = known.agg(F.sum("m")).first()[0]
     free = spark.createDataFrame([], "slot long, target long")
     if config.minimal and m > n:
-        taken = found.select("pid", F.explode("taken").alias("place"))
         if dense:
-            free = free_slots(taken.select((F.col("pid") * sizing.DENSE_SLOTS + F.col("place")).alias("slot")), n)
+            slot = F.col("pid") * sizing.DENSE_SLOTS
+            above = found.select("pid", F.explode("above").alias("place")).select("pid", (slot + F.col("place")).alias("slot"))
+            gaps = found.select("pid", F.explode("gaps").alias("place")).select("pid", (slot + F.col("place")).alias("target"))
+            gaps = gaps.union(_empty_slots(spark, found, partitions, n))
+            free = paired(above, gaps, "pid")
         else:
-            free = _own_free_slots(found, known)
+            moves = found.select("pid", F.explode(F.arrays_zip("above", "gaps")).alias("x")).join(known.select("pid", "n_offset", "m_offset"), "pid")
+            free = moves.select((F.col("m_offset") + F.col("x.above")).alias("slot"), (F.col("n_offset") + F.col("x.gaps")).alias("target"))
         free = free.persist(StorageLevel.MEMORY_AND_DISK)
     seconds["assembling"] = perf_counter() - began
     return MphModel(config, tuple(columns), seed, n, m, partitions, buckets, known, pilots.persist(StorageLevel.MEMORY_AND_DISK), free, seconds)
 
 
-def _own_free_slots(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Per partition, its used places from its n on meet its unused places below n, in order."""
-    below = F.filter("taken", lambda x: x < F.col("n"))
-    pairs = F.arrays_zip(F.filter("taken", lambda x: x >= F.col("n")).alias("a"), F.array_sort(F.array_except(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0))), below)).alias("t"))
-    one = found.where("n < m").select("pid", F.explode(pairs).alias("x")).where("x.a is not null")
-    return one.join(known.select("pid", "n_offset", "m_offset"), "pid").select((F.col("m_offset") + F.col("x.a")).alias("slot"), (F.col("n_offset") + F.col("x.t")).alias("target"))
+def _empty_slots(spark, found: DataFrame, partitions: int, n: int) -> DataFrame:
+    """(pid, target): the slots below n of dense partitions that no key fell into."""
+    empty = spark.range(partitions).withColumnRenamed("id", "pid").join(found.select("pid"), "pid", "left_anti")
+    first = F.col("pid") * sizing.DENSE_SLOTS
+    last = F.least(first + sizing.DENSE_SLOTS, F.lit(n)) - 1
+    return empty.where(first < n).select("pid", F.explode(F.sequence(first, last)).alias("target"))

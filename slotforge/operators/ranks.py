@@ -44,4 +44,9 @@ def free_slots(used: DataFrame, n: int, group_slots: int = 1 << 16) -> DataFrame
     whole = F.sequence(F.col("g") * group_slots, F.least((F.col("g") + 1) * group_slots - 1, F.lit(last)))
     free = groups.select("g", F.explode(F.array_except(whole, F.coalesce("held", F.array().cast("array<long>")))).alias("target"))
     above = used.where(F.col("slot") >= n).select(F.floor(F.col("slot") / group_slots).cast("long").alias("g"), "slot")
-    return ranked(above, "g", "slot").join(ranked(free, "g", "target"), "rank").select("slot", "target")
+    return paired(above, free, "g")
+
+
+def paired(above: DataFrame, free: DataFrame, group: str) -> DataFrame:
+    """(slot, target): the k-th slot of ``above`` with the k-th target of ``free``; groups are ranges in ascending order."""
+    return ranked(above, group, "slot").join(ranked(free, group, "target"), "rank").select("slot", "target")

@@ -16,7 +16,7 @@ from ..functions.arith import np_mix, np_remap
 MOST_CELLS = 1 << 18  #: pilots tried in one step, over all partitions
 MAX_BUCKET = 255
 
-RESULT = "pid long, n long, m long, pilots array<long>, taken array<long>, max_pilot long, empty_buckets long, largest_bucket long, problem string"
+RESULT = "pid long, n long, m long, pilots array<long>, above array<long>, gaps array<long>, max_pilot long, empty_buckets long, largest_bucket long, problem string"
 
 
 def _first_distinct(places: np.ndarray, rows: np.ndarray) -> dict[int, int]:
@@ -113,8 +113,19 @@ def search(pid: np.ndarray, bucket: np.ndarray, payload: np.ndarray, sizes: dict
     return out
 
 
-def kernel(slots: int | None, alpha: float, buckets: int, max_pilot: int):
-    """The function that Spark applies to each group of partitions: (pid, bucket, payload) rows to one row per partition."""
+def spare(taken: np.ndarray, m: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The used places from ``limit`` on and the unused ones below it: what a minimal function has to redirect, and to where."""
+    free = np.ones(max(0, min(limit, m)), bool)
+    free[taken[taken < limit]] = False
+    return taken[taken >= limit], np.flatnonzero(free)
+
+
+def kernel(slots: int | None, alpha: float, buckets: int, max_pilot: int, n_all: int):
+    """The function that Spark applies to each group of partitions: (pid, bucket, payload) rows to one row per partition.
+
+    With ``slots`` (dense) the positions of all partitions count on and are
+    to end below ``n_all``; without, each partition's end below its own n.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         pid, bucket, payload = (group.column(c).to_numpy() for c in ("pid", "bucket", "payload"))
@@ -122,10 +133,11 @@ def kernel(slots: int | None, alpha: float, buckets: int, max_pilot: int):
         sizes = {p: slots or int(k / alpha) for p, k in zip(known.tolist(), n.tolist(), strict=True)}
         found = search(pid, bucket, payload.view(np.uint64), sizes, buckets, max_pilot)
         rows = list(found.items())
+        moved = [spare(x["taken"], x["m"], n_all - p * slots if slots else x["n"]) for p, x in rows]
         lists = pa.list_(pa.int64())
         return pa.table({
             "pid": pa.array([p for p, _ in rows], pa.int64()), "n": pa.array([x["n"] for _, x in rows], pa.int64()), "m": pa.array([x["m"] for _, x in rows], pa.int64()),
-            "pilots": pa.array([x["pilots"] for _, x in rows], lists), "taken": pa.array([x["taken"] for _, x in rows], lists),
+            "pilots": pa.array([x["pilots"] for _, x in rows], lists), "above": pa.array([a for a, _ in moved], lists), "gaps": pa.array([g for _, g in moved], lists),
             "max_pilot": pa.array([int(x["pilots"].max(initial=0)) for _, x in rows], pa.int64()), "empty_buckets": pa.array([x["empty"] for _, x in rows], pa.int64()),
             "largest_bucket": pa.array([x["largest"] for _, x in rows], pa.int64()), "problem": pa.array([x["problem"] for _, x in rows], pa.string()),
         })
