@@ -29,6 +29,7 @@ BESIDE = frozenset(
 )
 _SPLIT = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
+_TAG = re.compile(r"</?[A-Za-z]|<[!?]")
 SIGMA = 1.5
 
 
@@ -131,6 +132,17 @@ def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return sums / np.convolve(np.ones(len(values)), kernel)[reach : reach + len(values)]
 
 
+def without_open_end(html: str) -> str:
+    """Cuts off a comment or a tag that the end of the page leaves open: as in browsers, it is no text."""
+    comment = html.rfind("<!--")
+    if comment >= 0 and html.find("-->", comment + 2) < 0:
+        html = html[:comment]
+    last = html.rfind("<")
+    if last >= 0 and html.find(">", last) < 0 and _TAG.match(html, last):
+        html = html[:last]
+    return html
+
+
 def main_text(html: str) -> str:
     """The article's lines, joined by blanks.
 
@@ -143,7 +155,7 @@ def main_text(html: str) -> str:
     ones too.
     """
     parser = Events()
-    parser.feed(html)
+    parser.feed(without_open_end(html))
     parser.close()
     parser._end_line()
     lines, texts = parser.lines, []

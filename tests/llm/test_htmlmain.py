@@ -32,6 +32,9 @@ def test_malformed_and_small():
     assert htmlmain.main_text("<article><h1>T</h1><p><b>One<br><p>Two &am") == "T One Two &am"
     assert htmlmain.main_text("<p>a<p>b</i></b></p></div>c") == "a b c"
     assert htmlmain.main_text("<div>" * 20_000 + "x" + "</span>" * 20_000) == "x"
+    for cut in ("</artic", "<p", "<b cl", "<!-- note <p>y</p>", "<!"):
+        assert htmlmain.main_text("<article><p>abc" + cut) == "abc"
+    assert htmlmain.main_text("<article>1 < 2 <") == "1 < 2 <"
     assert htmlmain.main_text(page("<article>" + "<p>w</p>" * 3 + "</article>")) == "w w w"
     assert htmlmain.main_text("<article>a&nbsp;b\x0bc \x85 d</article>") == "a\xa0b c \x85 d"
 
