@@ -60,3 +60,49 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["pos"] for r in spark.sql("SELECT pos FROM found").collect()) == list(range(200))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from slotforge import cli
+    from slotforge.sources.model_io import load
+
+    (tmp_path / "keys.txt").write_text("".join(f"key number {i}\n" for i in range(300)))
+    records = cli.main(["-i", str(tmp_path / "keys.txt"), "-s", "1", "-e", "all", "--check", "-o", str(tmp_path / "f")])
+    assert [r["encoder_type"] for r in records] == ["C", "PC", "D", "EF", "R", "C-C", "D-D", "R-R"]
+    assert len(capsys.readouterr().out.strip().splitlines()) == 8
+    keys = K.read_lines(spark, str(tmp_path / "keys.txt"))
+    assert load(spark, str(tmp_path / "f")).check(keys).first()["ok"]
+
+
+def test_new_seeds_until_one_works(spark, monkeypatch):
+    from slotforge.operators import build as B
+
+    tried = []
+
+    def seeds(bits):
+        tried.append(bits)
+        return len(tried)
+
+    monkeypatch.setattr(B.random, "getrandbits", seeds)
+    real = B.kernel
+
+    def failing(*a):
+        run = real(*a)
+        bad = len(tried) < 3
+
+        def once(group):
+            out = run(group)
+            if bad:
+                import pyarrow as pa
+
+                out = out.set_column(out.schema.get_field_index("problem"), "problem", pa.array(["pilot"] * out.num_rows, pa.string()))
+            return out
+
+        return once
+
+    monkeypatch.setattr(B, "kernel", failing)
+    model = build(spark.range(200), "id", MphConfig(max_attempts=5))
+    assert len(tried) == 3 and model.seed == 3
+    with pytest.raises(B.BuildError):
+        tried.clear()
+        build(spark.range(200), "id", MphConfig(max_attempts=2))
