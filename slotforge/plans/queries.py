@@ -13,6 +13,9 @@ from ..functions import arith
 from ..operators import apply, encoders, inspect, ranks
 from ..operators.build import build
 from ..sources import keys as sources
+from ..sources import model_io
+from ..sources.scratch import scratch_path
+from ..streaming.lookup import stream_lookup
 from . import report, sizing
 from .config import MphConfig, compact_preset
 
@@ -268,12 +271,34 @@ def sorted_distinct(spark, sf):
     return report.values(_table(spark, sf, "events"), "event_type")
 
 
+def stream_positions(spark, sf):
+    """A stream of events looked up against a function, through a Parquet sink."""
+    events = _table(spark, sf, "events")
+    model = build(events.select("user_id").distinct(), "user_id", MphConfig(seed=SEED))
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").load(sf, format="parquet")
+    out = scratch_path(spark, "stream")
+    found = stream_lookup(stream, model).select("event_id", "user_id", "pos")
+    found.writeStream.format("parquet").option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start(out).awaitTermination()
+    rows = spark.read.schema("event_id long, user_id long, pos long").parquet(out)
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("pos").alias("positions"))
+
+
+def saved_function(spark, sf):
+    """Positions that change when a function is saved and loaded, and positions in all."""
+    orders = _table(spark, sf, "orders").select("o_orderkey")
+    model = build(orders, "o_orderkey", MphConfig(mode="partitioned", seed=SEED, **SMALL))
+    path = scratch_path(spark, "function")
+    model_io.save(model, path)
+    a, b = model.lookup(orders), model_io.load(spark, path).lookup(orders)
+    return a.join(b.withColumnRenamed("pos", "again"), "o_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("pos") != F.col("again")).alias("changed"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         mph_single, mph_partitioned, mph_dense, mph_dense_composite, mph_non_minimal, mph_string_keys, mph_binary_keys, mph_full_load, partition_sizes, partition_extremes, partition_offsets,
         bucket_histogram, search_order, free_slots, duplicate_keys, sizing_plan, pilot_entropy, compact_blocks, dictionary_codes, prefix_sums, direct_join, dense_group_by, dictionary_encoding,
-        membership, line_stats, bench_report, mixed_words, encoded_round_trip, sorted_distinct,
+        membership, line_stats, bench_report, mixed_words, encoded_round_trip, sorted_distinct, stream_positions, saved_function,
     )
 }
 
@@ -306,5 +331,7 @@ ORACLE_SQL = {
     "bench_report": REPORT_SQL,
     "mixed_words": MIX_SQL,
     "encoded_round_trip": "SELECT 0::BIGINT AS lost",
+    "stream_positions": "SELECT user_id, count(*) AS n, 1::BIGINT AS positions FROM events GROUP BY user_id",
+    "saved_function": "SELECT count(*) AS n, 0::BIGINT AS changed FROM orders",
     "sorted_distinct": "SELECT DISTINCT event_type FROM events ORDER BY 1",
 }
