@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, slices, written
 
 DEPTH = 5  #: context bytes; a gram is the context and the byte it predicts
-BUCKET_BYTES = 16_000_000  #: text that one task group holds at a time
-TOP_TOKENS, TOP_TOKEN_BYTES, TOP_GRAMS = 1 << 19, 64, 1 << 21  #: what is broadcast: so many of the most frequent at most, tokens of so many bytes at most
+BUCKET_BYTES = 14_000_000  #: text that one task group holds at a time
 GROUP_GRAMS = 100_000  #: distinct grams that one task group is meant for
 END = b"\n"  #: closes a text, and pads the context before its first byte
 LOG_HALF = float(np.log(0.5))
@@ -205,51 +204,21 @@ def parts(rows: DataFrame, depth: int) -> DataFrame:
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
 
-def frequent(facts: DataFrame, most: int) -> int:
-    """The lowest count class (16 to a doubling) from which on ``facts`` has at most ``most`` rows; from the few classes there are."""
-    classes = sorted(facts.groupBy("class").count().collect(), key=lambda r: -r["class"])
-    held, lowest = 0, 1 << 20
-    for r in classes:
-        held += r["count"]
-        if held > most:
-            break
-        lowest = r["class"]
-    return lowest
-
-
-class _Counts(dict):
-    """Counts of a bucket's rare tokens; all others are in the table shared by all."""
-
-    def __init__(self, pairs, shared: dict[bytes, int]):
-        super().__init__(pairs)
-        self.shared = shared
-
-    def __missing__(self, token: bytes) -> int:
-        return self.shared[token]
-
-
-def _sums(texts: list[bytes], keys: np.ndarray, lps: np.ndarray, shared_keys: np.ndarray, shared_lps: np.ndarray, depth: int) -> np.ndarray:
+def _sums(texts: list[bytes], keys: np.ndarray, lps: np.ndarray, depth: int) -> np.ndarray:
     """For each coded text, the sum of its grams' log probabilities: grams are sorted together, each distinct one is looked up once."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    key = np.concatenate([grams(t, depth) for t in texts])
-    order = None
-    if depth <= 5 and len(texts) <= 1 << 15:
-        mixed = np.sort((key << 15) | np.repeat(np.arange(len(texts)), sizes))
+    key, text = np.concatenate([grams(t, depth) for t in texts]), np.repeat(np.arange(len(texts)), sizes)
+    if depth <= 5 and len(texts) <= 1 << 15:  # 48 and 15 bits sort as one number
+        mixed = np.sort((key << 15) | text)
         key, text = mixed >> 15, mixed & ((1 << 15) - 1)
     else:
         order = np.argsort(key)
-        key, text = key[order], np.repeat(np.arange(len(texts)), sizes)[order]
+        key, text = key[order], text[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    distinct = key[first]
-    lp = np.empty(len(distinct))
-    at = np.minimum(np.searchsorted(shared_keys, distinct), max(0, len(shared_keys) - 1))
-    known = shared_keys[at] == distinct if len(shared_keys) else np.zeros(len(distinct), bool)
-    lp[known] = shared_lps[at[known]] if len(shared_keys) else 0
-    own = np.searchsorted(keys, distinct[~known])
-    if not (keys[own] == distinct[~known]).all():
+    at = np.searchsorted(keys, key[first])
+    if not (keys[at] == key[first]).all():
         raise KeyError("a gram without a code length")
-    lp[~known] = lps[own]
-    return np.bincount(text, np.repeat(lp, np.diff(np.append(first, len(key)))), len(texts))
+    return np.bincount(text, np.repeat(lps[at], np.diff(np.append(first, len(key)))), len(texts))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -262,54 +231,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     -score / n_bytes * log2(10) is the code length per byte. Null text: empty.
     Null id: training. Repeated rows count each. No rows give no rows. Columns
     other than the id and the text are not read.
-
-    Token counts and code lengths get back to the buckets in one of three
-    ways. Those that are in one or two buckets go there by name (the counting
-    keeps the lowest and the highest bucket). Of the others, the most frequent
-    are broadcast, TOP_TOKENS and TOP_GRAMS at most. What is left, if anything,
-    is joined with the buckets' lists, which are then made once more.
     """
     rows = bucketed(docs, id_col, text_col)
-    lists = parts(rows, depth)
-    facts = lists.groupBy("token", "gram").agg(F.sum("n").alias("n"), F.min("bucket").alias("lo"), F.max("bucket").alias("hi"), F.count("*").alias("k"))
-    count_class = F.when(F.col("n") > 0, F.floor(16 * F.log2("n"))).otherwise(F.lit(-1)).cast("long")
-    facts = written(facts.withColumn("class", count_class), "ctw-facts")
-    words, spelled = facts.where("token is not null"), facts.where("token is null")
-    total, distinct = words.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
+    found = written(parts(rows, depth), "ctw-parts")
+    words = found.where("token is not null").select("bucket", "token", "n")
+    vocabulary = written(words.groupBy("token").agg(F.sum("n").alias("c")), "ctw-vocabulary")
+    total, distinct = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     total = total or 0
-    lengths = code_lengths(spelled.select("gram", "n"), depth)
-    values = words.withColumn("value", F.col("n").cast("double")).union(spelled.join(lengths, "gram").select("token", "gram", "n", "lo", "hi", "k", "class", F.col("lp").alias("value")))
-    values = written(values.select("token", "gram", "lo", "hi", "k", "class", "value"), "ctw-values")
-    spread = values.where("k > 2")
-    short = F.col("token").isNotNull() & (F.octet_length("token") <= TOP_TOKEN_BYTES)
-    least_tokens, least_grams = frequent(spread.where(short), TOP_TOKENS), frequent(spread.where("token is null"), TOP_GRAMS)
-    top = (short & (F.col("class") >= least_tokens)) | (F.col("token").isNull() & (F.col("class") >= least_grams))
-    most = spread.where(top & F.col("token").isNotNull()).select("token", "value").toArrow()
-    shared_counts = dict(zip(most.column("token").to_pylist(), map(int, most.column("value").to_pylist()), strict=True))
-    most = spread.where(top & F.col("token").isNull()).select("gram", "value").toArrow().sort_by("gram")
-    shared = docs.sparkSession.sparkContext.broadcast((shared_counts, most.column("gram").to_numpy(), most.column("value").to_numpy()))
-    named = values.where("k <= 2").select(F.explode(F.when(F.col("lo") == F.col("hi"), F.array("lo")).otherwise(F.array("lo", "hi"))).alias("bucket"), "token", "gram", "value")
-    rest = spread.where(~top).select("token", "gram", "value")
-    if rest.limit(1).count():
-        far = lists.select("bucket", "token", "gram")
-        by_word = far.where("token is not null").join(rest.where("token is not null").select("token", "value"), "token").select("bucket", "token", "gram", "value")
-        by_gram = far.where("token is null").join(rest.where("token is null").select("gram", "value"), "gram").select("bucket", "token", "gram", "value")
-        named = named.union(by_word).union(by_gram)
+    spelled = found.where("token is null").select("bucket", "gram", "n")
+    lengths = written(code_lengths(spelled.groupBy("gram").agg(F.sum("n").alias("n")), depth), "ctw-lengths")
+    known = words.join(vocabulary, "token").select("bucket", "token", F.lit(-1).cast("long").alias("gram"), F.col("c").cast("double").alias("value"))
+    coded = spelled.join(lengths, "gram").select("bucket", F.lit(None).cast("binary").alias("token"), "gram", F.col("lp").alias("value"))
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        everywhere, shared_keys, shared_lps = shared.value
         value, gram = right.column("value").to_numpy(), right.column("gram").to_numpy()
         is_gram = gram >= 0
-        counts = _Counts(zip(right.column("token").filter(pa.array(~is_gram)).to_pylist(), value[~is_gram].tolist(), strict=True), everywhere)
+        counts = dict(zip(right.column("token").filter(pa.array(~is_gram)).to_pylist(), value[~is_gram].tolist(), strict=True))
         order = np.argsort(gram[is_gram])
         keys, lps = gram[is_gram][order], value[is_gram][order]
-        if not len(keys):
-            keys, lps = np.array([-1]), np.zeros(1)
         keys, lps = np.append(keys, np.iinfo(np.int64).max), np.append(lps, 0.0)
         n_tokens, n_known, base, score, n_bytes = [], [], [], [], []
         for _, texts in slices(as_bytes(left.column("text")), 2_000_000):
-            coded = []
+            streams = []
             for text in texts:
                 split = tokens(text)
                 c = np.fromiter(map(counts.__getitem__, split), float, len(split))
@@ -317,13 +261,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
                 n_tokens.append(len(c))
                 n_known.append(int((c > 0).sum()))
                 base.append(float(np.log10(c + 0.5).sum() - len(c) * norm))
-                coded.append(stream(split))
-            n_bytes += map(len, coded)
-            score += _sums(coded, keys, lps, shared_keys, shared_lps, depth).tolist()
+                streams.append(stream(split))
+            n_bytes += map(len, streams)
+            score += _sums(streams, keys, lps, depth).tolist()
         return pa.table({
             "id": left.column("id"), "held_out": left.column("held"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()), "n_bytes": pa.array(n_bytes, pa.int64()),
         })
 
-    scored = rows.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(run, SCORES)
+    scored = rows.groupBy("bucket").cogroup(known.union(coded).groupBy("bucket")).applyInArrow(run, SCORES)
     return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
