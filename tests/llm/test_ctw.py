@@ -112,7 +112,7 @@ def test_log_gamma():
 
 
 def test_better_than_words_alone_on_held_out_texts(spark):
-    """With 8,000 texts to learn from; with 800 (sf0.01) the words' own counts are still 1.3 % ahead, as the README says."""
+    """With 8,000 texts to learn from; with 800 (sf0.01) the words' own counts are still ahead, as the README says."""
     rows = op1_ctw_scores(spark, "/root/testdata/sf0.1").select("doc_id", "held_out", "score", "base_score").collect()
     assert len(rows) == 10_000
     out = [r for r in rows if r["held_out"]]
