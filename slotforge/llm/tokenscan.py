@@ -81,7 +81,11 @@ def flat_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def read_flat(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of raw flat token files (uint16, little-endian) under a path or glob; an odd last byte is an error."""
+    """Blocks of raw flat token files (uint16, little-endian) under a path or glob; an odd last byte is an error.
+
+    Spark's binary reader gives a file to one task, 2 GB at most: larger
+    corpora come as several files, as ``flat_blocks`` makes them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
