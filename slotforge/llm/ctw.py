@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, slices, written
 
-DEPTH = 4  #: context bytes; a gram is the context and the byte it predicts
+DEPTH = 5  #: context bytes; a gram is the context and the byte it predicts
 BUCKET_BYTES = 12_000_000  #: text that one task group holds at a time
-GROUP_GRAMS = 100_000  #: distinct grams that one task group is meant for
+GROUP_GRAMS = 100_000  #: distinct grams whose nodes a task holds at a time, but for a subtree with more
+LEAST_PARTS = 64  #: parts that the subtrees are dealt to; a quarter of the buckets if that is more
 END = b"\n"  #: closes a text, and pads the context before its first byte
 LOG_HALF = float(np.log(0.5))
 
@@ -123,58 +126,145 @@ class Top:
         return cls(w0 * kt_one(z0, o0) + (1 - w0) * w1 * kt_one(z, o), (1 - w0) * (1 - w1))
 
 
-def code_lengths(gram_counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, lp): log10 probability of each gram's byte after its context, from (gram, n) over the whole corpus.
+def _part(keys: np.ndarray, groups: int) -> np.ndarray:
+    """The part of each gram: whole subtrees below contexts of two bytes stay together."""
+    sub = ((keys >> 8) & 0xFFFF).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((sub >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+
+
+def _pack(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Rising grams and their counts: differences, byte by byte of all numbers, compressed."""
+    both = np.concatenate([np.diff(keys, prepend=0), n]).astype("<i8")
+    return pa.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, 16 * size, codec="zstd", asbytes=True), np.uint8).reshape(8, 2 * size)
+    both = np.ascontiguousarray(planes.T).view("<i8").ravel()
+    return np.cumsum(both[:size]), both[size:]
+
+
+def _by_part(keys: np.ndarray, n: np.ndarray, groups: int) -> tuple[list[int], list[int], list[bytes]]:
+    """(part, size, packed grams and counts) of rising grams."""
+    part = _part(keys, groups)
+    order = np.argsort(part, kind="stable")
+    found, first = np.unique(part[order], return_index=True)
+    cuts = np.split(order, first[1:]) if len(order) else []
+    return found.tolist(), list(map(len, cuts)), [_pack(keys[c], n[c]) for c in cuts]
+
+
+def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct grams subtree by subtree, their counts, the place there of each gram of each row, where each row ends)."""
+    size = group.column("size").to_pylist()
+    held = [_unpack(d, k) for d, k in zip(group.column("grams").to_pylist(), size, strict=True)]
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
+    order = np.argsort((keys >> 8) & 0xFFFF, kind="stable")
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    return keys[order], n[order], place[at], np.cumsum(size)
+
+
+def _subtrees(keys: np.ndarray, most: int) -> list[slice]:
+    """Runs of whole subtrees with about ``most`` grams."""
+    starts = np.flatnonzero(np.diff((keys >> 8) & 0xFFFF, prepend=-1))
+    cuts = [0]
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+        if end - cuts[-1] > most and start > cuts[-1]:
+            cuts.append(start)
+    return [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+
 
-    Grams with n = 0 are scored from what training has seen of their context.
-    The tree is cut at contexts of two bytes: a group holds the distinct grams
-    of some subtrees, and the two depths above it are a table of at most
-    256 x 255 rows, which is what the driver holds and broadcasts.
+def coded_parts(packed: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(bucket, size, grams, lps): ``packed`` (bucket, part, size, grams) with log10 probabilities of each gram's byte after its context.
+
+    Counts are summed over all buckets; grams with n = 0 are scored from what
+    training has seen of their context. A row has the grams of one bucket and
+    part, so no row is made or joined per gram. The tree is cut at contexts of
+    two bytes: a part holds whole subtrees, and the two depths above are a
+    table of at most 256 x 255 rows, which is what the driver holds and
+    broadcasts.
     """
-    groups = max(1, -(-gram_counts.count() // GROUP_GRAMS))
-    sub = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    keyed = gram_counts.withColumn("part", F.pmod(F.xxhash64(sub), F.lit(groups)))
+    most = GROUP_GRAMS
 
     def up(group: pa.Table) -> pa.Table:
-        levels = _Levels(group.column("gram").to_numpy(), group.column("n").to_numpy(), depth)
-        return pa.table({"last": levels.last, "node": levels.node[0], "zeros": levels.zeros[0], "ones": levels.ones[0], "below": levels.mixed[0]})
-
-    sums = keyed.groupBy("part").applyInArrow(up, "last long, node long, zeros double, ones double, below double")
+        keys, n, _, _ = _merged(group)
+        sums = np.zeros((3, 256 * 256))
+        for cut in _subtrees(keys, most):
+            levels = _Levels(keys[cut], n[cut], depth)
+            at = levels.last << 8 | levels.node[0]
+            for row, values in zip(sums, (levels.zeros[0], levels.ones[0], levels.mixed[0]), strict=True):
+                row += np.bincount(at, values, 256 * 256)
+        at = np.flatnonzero(sums.any(axis=0))
+        return pa.table({"last": at >> 8, "node": at & 0xFF, "zeros": sums[0, at], "ones": sums[1, at], "below": sums[2, at]})
+
+    sums = packed.select("part", "size", "grams").groupBy("part").applyInArrow(up, "last long, node long, zeros double, ones double, below double")
     rows = sums.groupBy("last", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow()
     top = Top.of(*(rows.column(c).to_numpy() for c in ("last", "node", "zeros", "ones", "below")))
-    shared = gram_counts.sparkSession.sparkContext.broadcast((top.share, top.rest))
+    shared = packed.sparkSession.sparkContext.broadcast((top.share, top.rest))
 
     def down(group: pa.Table) -> pa.Table:
-        keys = group.column("gram").to_numpy()
-        levels = _Levels(keys, group.column("n").to_numpy(), depth)
-        at = levels.last[levels.at[0]], levels.node[0][levels.at[0]]
+        keys, n, place, ends = _merged(group)
         share, rest = shared.value
-        one = (share[at] + rest[at] * levels.predict()).reshape(-1, 8)
-        lp = np.log10(np.where(levels.bit == 1, one, 1 - one)).sum(axis=1)
-        return pa.table({"gram": keys, "lp": lp})
+        lp = np.empty(len(keys))
+        for cut in _subtrees(keys, most):
+            levels = _Levels(keys[cut], n[cut], depth)
+            at = levels.last[levels.at[0]], levels.node[0][levels.at[0]]
+            one = (share[at] + rest[at] * levels.predict()).reshape(-1, 8)
+            lp[cut] = np.log10(np.where(levels.bit == 1, one, 1 - one)).sum(axis=1)
+        lps = [pa.compress(lp[at].astype("<f8"), codec="zstd", asbytes=True) for at in np.split(place, ends[:-1])]
+        return pa.table({"bucket": group.column("bucket"), "size": group.column("size"), "grams": group.column("grams"), "lps": pa.array(lps, pa.binary())})
+
+    return packed.groupBy("part").applyInArrow(down, "bucket long, size long, grams binary, lps binary")
+
+
+def _lengths(size: list[int], grams_of: list[bytes], lps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, log10 probabilities) of rows of ``coded_parts``, grams rising."""
+    keys = np.concatenate([np.zeros(0, np.int64), *(_unpack(d, k)[0] for d, k in zip(grams_of, size, strict=True))])
+    values = np.concatenate([np.zeros(0), *(np.frombuffer(pa.decompress(d, 8 * k, codec="zstd", asbytes=True), "<f8") for d, k in zip(lps, size, strict=True))])
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def code_lengths(gram_counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, lp): log10 probability of each gram's byte after its context, from (gram, n) over the whole corpus."""
+    groups = max(LEAST_PARTS, -(-gram_counts.count() // GROUP_GRAMS))
+    sub = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    keyed = gram_counts.select("gram", "n", F.pmod(F.xxhash64(sub), F.lit(groups)).alias("part"))
+
+    def pack(group: pa.Table) -> pa.Table:
+        keys, n = group.column("gram").to_numpy(), group.column("n").to_numpy()
+        order = np.argsort(keys)
+        return pa.table({"bucket": [0], "part": [group.column("part")[0].as_py()], "size": [len(keys)], "grams": pa.array([_pack(keys[order], n[order])], pa.binary())})
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lps = _lengths(*(batch.column(c).to_pylist() for c in ("size", "grams", "lps")))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(lps)], names=["gram", "lp"])
 
-    return keyed.groupBy("part").applyInArrow(down, "gram long, lp double")
+    return coded_parts(keyed.groupBy("part").applyInArrow(pack, "bucket long, part long, size long, grams binary"), depth).mapInArrow(flat, "gram long, lp double")
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, id, held, text): rows dealt at random to buckets of about BUCKET_BYTES of text; the same each time."""
+def bucketed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(bucket, id, held, text) and the number of buckets: rows dealt at random to buckets of about BUCKET_BYTES of text; the same each time."""
     picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 1, F.lit(False))
-    return picked.select(F.pmod(F.xxhash64("id", "text"), F.lit(-(-size // BUCKET_BYTES) or 1)).alias("bucket"), F.col("id").cast("long").alias("id"), held.alias("held"), "text")
+    n = -(-size // BUCKET_BYTES) or 1
+    return picked.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).alias("bucket"), F.col("id").cast("long").alias("id"), held.alias("held"), "text"), n
 
 
-PARTS = "bucket long, token binary, gram long, n long"
+PARTS = "bucket long, token binary, n long, part long, size long, grams binary"
 
 
-def parts(rows: DataFrame, depth: int) -> DataFrame:
-    """Per bucket, each distinct token and gram with its count in training texts. END stands for the end token."""
+def parts(rows: DataFrame, depth: int, groups: int) -> DataFrame:
+    """Per bucket, each distinct token with its count in training texts, and one row of all distinct grams of a part with theirs. END stands for the end token."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket, held = group.column("bucket")[0].as_py(), group.column("held").to_pylist()
         counts: Counter[bytes] = Counter()
         keys, sums = [], []
-        for at, texts in slices(as_bytes(group.column("text")), 8_000_000):
+        for at, texts in slices(as_bytes(group.column("text")), 4_000_000):
             coded = {True: [], False: []}
             for text, out in zip(texts, held[at : at + len(texts)], strict=True):
                 words = tokens(text)
@@ -192,10 +282,11 @@ def parts(rows: DataFrame, depth: int) -> DataFrame:
                     sums.append(n * (not out))
         key, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(at, np.concatenate(sums), len(key)).astype(np.int64)
-        total = len(counts) + len(key)
+        part, size, packed = _by_part(key, n, groups)
+        blank, spelled = [None] * len(counts), [None] * len(part)
         return pa.table({
-            "bucket": np.full(total, bucket, np.int64), "token": pa.array([*counts, *[None] * len(key)], pa.binary()),
-            "gram": pa.array(np.concatenate([np.full(len(counts), -1), key])), "n": pa.array(np.concatenate([np.fromiter(counts.values(), np.int64, len(counts)), n])),
+            "bucket": np.full(len(counts) + len(part), bucket, np.int64), "token": pa.array([*counts, *spelled], pa.binary()), "n": pa.array([*counts.values(), *spelled], pa.int64()),
+            "part": pa.array([*blank, *part], pa.int64()), "size": pa.array([*blank, *size], pa.int64()), "grams": pa.array([*blank, *packed], pa.binary()),
         })
 
     return rows.groupBy("bucket").applyInArrow(run, PARTS)
@@ -232,24 +323,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     Null id: training. Repeated rows count each. No rows give no rows. Columns
     other than the id and the text are not read.
     """
-    rows = bucketed(docs, id_col, text_col)
-    found = written(parts(rows, depth), "ctw-parts")
+    rows, buckets = bucketed(docs, id_col, text_col)
+    found = written(parts(rows, depth, max(LEAST_PARTS, buckets // 4)), "ctw-parts")
     words = found.where("token is not null").select("bucket", "token", "n")
     vocabulary = written(words.groupBy("token").agg(F.sum("n").alias("c")), "ctw-vocabulary")
     total, distinct = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     total = total or 0
-    spelled = found.where("token is null").select("bucket", "gram", "n")
-    lengths = written(code_lengths(spelled.groupBy("gram").agg(F.sum("n").alias("n")), depth), "ctw-lengths")
-    known = words.join(vocabulary, "token").select("bucket", "token", F.lit(-1).cast("long").alias("gram"), F.col("c").cast("double").alias("value"))
-    coded = spelled.join(lengths, "gram").select("bucket", F.lit(None).cast("binary").alias("token"), "gram", F.col("lp").alias("value"))
+    coded = coded_parts(found.where("token is null").select("bucket", "part", "size", "grams"), depth)
+    known = words.join(vocabulary, "token").select("bucket", "token", F.col("c").alias("n"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("lps"))
+    facts = known.union(coded.select("bucket", F.lit(None).cast("binary").alias("token"), F.lit(None).cast("long").alias("n"), "size", "grams", "lps"))
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        value, gram = right.column("value").to_numpy(), right.column("gram").to_numpy()
-        is_gram = gram >= 0
-        counts = dict(zip(right.column("token").filter(pa.array(~is_gram)).to_pylist(), value[~is_gram].tolist(), strict=True))
-        order = np.argsort(gram[is_gram])
-        keys, lps = gram[is_gram][order], value[is_gram][order]
+        is_word = right.column("token").is_valid()
+        tokens_of, spelled = right.filter(is_word), right.filter(pc.invert(is_word))
+        counts = dict(zip(tokens_of.column("token").to_pylist(), tokens_of.column("n").to_pylist(), strict=True))
+        keys, lps = _lengths(*(spelled.column(c).to_pylist() for c in ("size", "grams", "lps")))
         keys, lps = np.append(keys, np.iinfo(np.int64).max), np.append(lps, 0.0)
         n_tokens, n_known, base, score, n_bytes = [], [], [], [], []
         for _, texts in slices(as_bytes(left.column("text")), 2_000_000):
@@ -269,5 +358,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
             "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()), "n_bytes": pa.array(n_bytes, pa.int64()),
         })
 
-    scored = rows.groupBy("bucket").cogroup(known.union(coded).groupBy("bucket")).applyInArrow(run, SCORES)
+    scored = rows.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(run, SCORES)
     return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")

@@ -123,3 +123,14 @@ def test_long_text_and_no_rows(make_docs):
     rows = ctw.score(make_docs([(1, "word " * 500_000)])).collect()
     assert rows[0]["n_tokens"] == 500_001 and rows[0]["score"] < 0
     assert ctw.score(make_docs([])).count() == 0
+
+
+def test_five_bytes_of_context_as_one_row_a_part(spark):
+    """The default model sees five bytes back, and grams travel packed: rows do not grow with the number of grams."""
+    assert ctw.DEPTH >= 5
+    docs = spark.createDataFrame([(i, f"{'x' if i % 2 else 'y'}abcd{'p' if i % 2 else 'q'}") for i in range(2, 400)], "doc_id long, text string")
+    rows, n = ctw.bucketed(docs, "doc_id", "text")
+    made = ctw.parts(rows, ctw.DEPTH, 8).where("token is null").collect()
+    assert n == 1 and len(made) <= 8 and len({k for r in made for k in ctw._unpack(r["grams"], r["size"])[0].tolist()}) == sum(r["size"] for r in made)
+    deep, flat = (ctw.score(docs, depth=d).selectExpr("sum(score)").first()[0] for d in (ctw.DEPTH, 4))
+    assert deep > flat + 50
