@@ -61,7 +61,7 @@ class _Words(dict):
     def _reset(self) -> None:
         self.clear()
         self.forms: list[tuple[str, str, str, bool]] = []
-        self.hashes = np.zeros((1024, 2), np.uint64)  # at the start of a sentence, elsewhere
+        self.hashes = np.zeros((1024, 3), np.uint64)  # at the start of a sentence, elsewhere, of the word itself
         self.slots = np.zeros((1024, 2), bool)
         self.ends = np.zeros(1024, bool)
 
@@ -72,7 +72,7 @@ class _Words(dict):
             self.hashes, self.slots, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.slots, self.ends))
         self.forms.append(form)
         one = xxhash.xxh64_intdigest(form[0])
-        self.hashes[at] = one, one if form[1] == form[0] else xxhash.xxh64_intdigest(form[1])
+        self.hashes[at] = one, one if form[1] == form[0] else xxhash.xxh64_intdigest(form[1]), xxhash.xxh64_intdigest(form[2]) if form[2] else one
         self.slots[at] = form[0] in PLACES, form[1] in PLACES
         self.ends[at] = form[3]
         return at
@@ -83,12 +83,16 @@ class _Words(dict):
 
 
 def _windows(words: _Words, texts: list[bytes], widths: list[int], bitmap: np.ndarray | None) -> Iterator[tuple[int, int, int, int, str, list[str]]]:
-    """(text, width, position, hash, template, slot values) of the windows with enough plain words that the bitmap may hold."""
+    """(text, width, position, hash, template, slot values) of the windows that the bitmap may hold.
+
+    A window with too few plain words has its words as they stand for a
+    template, and so has a text of fewer words than PLAIN, as a whole.
+    """
     split = [t.split() for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     codes = np.fromiter(map(words.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
     n = len(codes)
-    if n < PLAIN:
+    if not n:
         return
     text = np.repeat(np.arange(len(split)), sizes)
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -97,25 +101,32 @@ def _windows(words: _Words, texts: list[bytes], widths: list[int], bitmap: np.nd
     later[first[sizes > 0]] = 0
     h, slot = words.hashes[codes, later], words.slots[codes, later]
     plain = np.concatenate(([0], np.cumsum(~slot)))
-    for width in widths:
-        m = n - width + 1
-        if m < 1:
-            continue
-        mixed = np.full(m, np.uint64(width))
+
+    def rows(starts: np.ndarray, width: int, seed: int, hashes: np.ndarray, literal: str | None) -> Iterator[tuple[int, int, int, int, str, list[str]]]:
+        mixed = np.full(len(starts), np.uint64(seed))
         for j in range(width):
             mixed *= np.uint64(0x9E3779B97F4A7C15)
-            mixed += h[j : j + m]
+            mixed += hashes[starts + j]
             mixed ^= mixed >> np.uint64(31)
-        good = (plain[width:] - plain[:m] >= PLAIN) & (text[:m] == text[width - 1 :])
         if bitmap is not None:
-            good &= bitmap[(mixed >> np.uint64(64 - SLOTS_LOG)).astype(np.int64)]
-        for at in np.flatnonzero(good).tolist():
+            may = bitmap[(mixed >> np.uint64(64 - SLOTS_LOG)).astype(np.int64)]
+            starts, mixed = starts[may], mixed[may]
+        for at, key in zip(starts.tolist(), mixed.astype(np.int64).tolist(), strict=True):
             span = range(at, at + width)
             forms = [words.forms[codes[i]] for i in span]
-            yield (
-                int(text[at]), width, at - int(first[text[at]]), int(mixed[at].astype(np.int64)),
-                " ".join(f[later[i]] for f, i in zip(forms, span, strict=True)), [f[2] for f, i in zip(forms, span, strict=True) if slot[i]],
-            )
+            template = " ".join(f[later[i]] for f, i in zip(forms, span, strict=True)) if literal is None else literal + " ".join(f[2] or f[0] for f in forms)
+            yield int(text[at]), width, at - int(first[text[at]]), key, template, [f[2] for f, i in zip(forms, span, strict=True) if slot[i]]
+
+    words_as_they_stand = words.hashes[codes, 2]
+    for width in widths:
+        m = n - width + 1
+        if m < 1 or width < PLAIN:
+            continue
+        inside, enough = text[:m] == text[width - 1 :], plain[width:] - plain[:m] >= PLAIN
+        yield from rows(np.flatnonzero(inside & enough), width, width, h, None)
+        yield from rows(np.flatnonzero(inside & ~enough), width, width + 256, words_as_they_stand, "= ")
+    for width in range(1, PLAIN):
+        yield from rows(first[sizes == width], width, width + 512, words_as_they_stand, "== ")
 
 
 def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[int], bitmap: np.ndarray | None = None, whole: bool = False) -> DataFrame:
@@ -142,9 +153,10 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[i
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_windows: int = 1) -> DataFrame:
     """(id, item_id, n_windows, item_windows, verbatim, first_pos): a row for each document and item that meet.
 
-    Windows of WIDTH canonical tokens (an item with fewer: all of it, from
-    PLAIN plain words on; shorter ones can't be told from chance and never
-    match) are hash-joined, then compared in full. Windows on one diagonal
+    Windows of WIDTH canonical tokens (an item with fewer: all of it) are
+    hash-joined, then compared in full. A window with fewer plain words than
+    PLAIN must meet its own words, numbers and names; an item of fewer words
+    than PLAIN only meets a document of just these. Windows on one diagonal
     (position in the document less that in the item) are one occurrence; it
     counts if its slots map one to one between item and document, so another
     set of numbers or names still matches and a jumbled one does not.
@@ -154,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     nothing; an empty benchmark gives no rows.
     """
     items = written(template_windows(benchmark, item_id_col, item_text_col, [WIDTH], whole=True).distinct(), "template-items")
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # PLAIN..WIDTH at most
+    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # 1..WIDTH at most
     sizes = items.groupBy("id").agg(F.count("*").alias("item_windows")).withColumnRenamed("id", "item_id")
     slots = items.select(F.shiftrightunsigned("h", 64 - SLOTS_LOG).alias("s")).distinct().toArrow().column("s").to_numpy()  # 2^22 at most
     bitmap = np.zeros(1 << SLOTS_LOG, bool)

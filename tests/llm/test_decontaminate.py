@@ -70,3 +70,14 @@ def test_planted_passages_are_found(spark, make_docs):
     docs = [(i, " ".join([word() for _ in range(50)] + ([items[i // 2][1]] if i % 2 else []) + [word() for _ in range(50)])) for i in range(60)]
     got = {r["id"] for r in d.contaminated(make_docs(docs), bench(spark, [(*x, "", "") for x in items])).collect()}
     assert got == {i for i in range(60) if i % 2}
+
+
+def test_items_without_plain_windows(spark, make_docs):
+    """Sums, lists of names and items of a few words: a word-for-word copy is found, other numbers or names are not."""
+    items = [(1, "12 + 30 = 42 and 7 * 8 = 56 and 90 / 3 = 30"), (2, "they are Anna Bert Carla Dora Emil Frida Gustav Hanna Ida"), (3, "2 cups 3 Eggs 40 grams"), (4, "Why not ?")]
+    docs = make_docs([
+        (1, f"see here {items[0][1]} and so on"), (2, f"we know that {items[1][1]} came"), (3, f"take {items[2][1]} now"), (4, "why not ?"), (5, "13 + 31 = 44 and 6 * 9 = 54 and 80 / 4 = 20"),
+        (6, "they are Otto Paul Rosa Sven Tina Udo Vera Willi Xaver"), (7, "so why not ? he said"), (8, "take 5 cups 6 Eggs 70 grams now"),
+    ])
+    got = {(r["id"], r["item_id"], r["verbatim"]) for r in d.contaminated(docs, bench(spark, [(*i, "", "") for i in items])).collect()}
+    assert got == {(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True)}
