@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from .common import as_bytes, slices, written
 
 WIDTH = 8  #: tokens of a window
 PLAIN = 5  #: tokens of a window that must be words as they stand
+VERBATIM = 6  #: neighbouring windows with equal slots that count whatever is around them: 13 tokens as they stand
 SLOTS_LOG = 22  #: the filter broadcast to all tasks has 2^22 bits, whatever the benchmark's size
 
 UNITS = frozenset(
@@ -150,6 +152,49 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[i
     return picked.mapInArrow(run, "id long, width int, pos long, h long, template string, slots array<string>")
 
 
+def counted(windows: list[dict], item_windows: int) -> tuple[int, int, bool] | None:
+    """(windows, first position, verbatim) of what counts of an occurrence, whose windows come in the item's order; None: nothing."""
+    same = [w["b"] == w["d"] for w in windows]
+    pairs = [set(zip(w["b"], w["d"], strict=True)) for w in windows]
+    held: Counter[tuple[str, str]] = Counter()
+    there: dict[str, str] = {}
+    back: dict[str, str] = {}
+    best, left = (0, 0), 0
+    for right, own in enumerate(pairs):
+        if len({b for b, _ in own}) < len(own) or len({d for _, d in own}) < len(own):  # jumbled in itself
+            held.clear(), there.clear(), back.clear()
+            left = right + 1
+            continue
+        while any(there.get(b, d) != d or back.get(d, b) != b for b, d in own):
+            for b, d in pairs[left]:
+                held[b, d] -= 1
+                if not held[b, d]:
+                    del there[b], back[d]
+            left += 1
+        for b, d in own:
+            held[b, d] += 1
+            there[b], back[d] = d, b
+        if right + 1 - left > best[1] - best[0]:
+            best = left, right + 1
+    verbatim, start = (0, 0), 0
+    for at, equal in enumerate(same):
+        if not equal:
+            start = at + 1
+        elif at > start and windows[at]["item_pos"] > windows[at - 1]["item_pos"] + 1:
+            start = at
+        if at + 1 - start > verbatim[1] - verbatim[0]:
+            verbatim = start, at + 1
+    long = verbatim[1] - verbatim[0] >= VERBATIM
+    if all(same):
+        best = 0, len(windows)
+    elif best[1] - best[0] < min(len(windows), item_windows / 2):
+        if not long:
+            return None
+        best = verbatim
+    run = windows[best[0] : best[1]]
+    return len({w["item_pos"] for w in run}), min(w["pos"] for w in run), long or all(same)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_windows: int = 1) -> DataFrame:
     """(id, item_id, n_windows, item_windows, verbatim, first_pos): a row for each document and item that meet.
 
@@ -157,10 +202,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hash-joined, then compared in full. A window with fewer plain words than
     PLAIN must meet its own words, numbers and names; an item of fewer words
     than PLAIN only meets a document of just these. Windows on one diagonal
-    (position in the document less that in the item) are one occurrence; it
-    counts if its slots map one to one between item and document, so another
-    set of numbers or names still matches and a jumbled one does not.
-    Verbatim: some occurrence has the item's own slot values.
+    (position in the document less that in the item) are one occurrence. Of
+    it counts the longest run of windows whose slots map one to one between
+    item and document if that is all of them or half of the item's windows or
+    more, so another set of numbers or names still matches and a jumbled one
+    does not; failing that, the longest run of VERBATIM or more neighbouring windows with equal slots.
+    Verbatim: some occurrence has such a run, or only the item's own slot values.
 
     Null texts have no windows; null ids stay as they are; repeated rows add
     nothing; an empty benchmark gives no rows.
@@ -173,13 +220,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bitmap[slots] = True
     found = template_windows(docs, id_col, text_col, widths, bitmap)
     item = items.select("h", "template", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    met = found.join(item, ["h", "template"]).select(
-        "id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "pos", "item_pos", F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")).alias("pairs"), (F.col("slots") == F.col("item_slots")).alias("same"))
-    runs = met.groupBy("id", "item_id", "diagonal").agg(
-        F.count_distinct("item_pos").alias("n"), F.min("pos").alias("first_pos"), F.min("same").alias("same"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    left, right = F.transform("pairs", lambda x: x["b"]), F.transform("pairs", lambda x: x["d"])
-    one_to_one = (F.size(F.array_distinct(left)) == F.size("pairs")) & (F.size(F.array_distinct(right)) == F.size("pairs"))
-    good = runs.where(F.col("same") | one_to_one)
+    window = F.struct("item_pos", "pos", F.col("item_slots").alias("b"), F.col("slots").alias("d"))
+    met = found.join(item, ["h", "template"]).select("id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), window.alias("window"))
+    runs = met.groupBy("id", "item_id", "diagonal").agg(F.sort_array(F.collect_set("window")).alias("windows")).join(sizes, "item_id").select("id", "item_id", "windows", "item_windows")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [(i, item, *found) for i, item, *seen in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (found := counted(*seen))]
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*good, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["id", "item_id", "n", "first_pos", "same"])
+
+    good = runs.mapInArrow(judge, "id long, item_id long, n long, first_pos long, same boolean")
     pairs = good.groupBy("id", "item_id").agg(F.max("n").alias("n_windows"), F.max("same").alias("verbatim"), F.min("first_pos").alias("first_pos"))
     return pairs.join(sizes, "item_id").where(F.col("n_windows") >= F.least(F.lit(min_windows), "item_windows")).select("id", "item_id", "n_windows", "item_windows", "verbatim", "first_pos")
 

@@ -81,3 +81,23 @@ def test_items_without_plain_windows(spark, make_docs):
     ])
     got = {(r["id"], r["item_id"], r["verbatim"]) for r in d.contaminated(docs, bench(spark, [(*i, "", "") for i in items])).collect()}
     assert got == {(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True)}
+
+
+def test_one_of_two_equal_values_edited(spark, make_docs):
+    """An edit that breaks the one-to-one slots of the whole occurrence loses neither its verbatim windows nor the consistent ones; a jumble is still none."""
+    tail = " and then everybody walked slowly home along the river bank while it was getting dark over the hills and the fields"
+    item = f"we saw 2 boats near the old bridge and we heard 2 dogs behind the barn{tail} at about 5 in the evening"
+    docs = make_docs([(1, item.replace("2 dogs", "3 dogs")), (2, item.replace("2", "4")), (3, JUMBLED), (4, item.replace("2 boats", "5 boats").replace("2 dogs", "3 dogs"))])
+    rows = {(r["id"], r["item_id"]): r for r in d.contaminated(docs, bench(spark, [(1, item, "", ""), (2, ITEM, "", "")])).collect()}
+    assert set(rows) == {(1, 1), (2, 1), (4, 1)} and rows[1, 1]["verbatim"]
+
+
+def test_what_counts_of_an_occurrence():
+    def windows(*slots):
+        return [{"item_pos": k, "pos": k + 5, "b": b.split(), "d": t.split()} for k, (b, t) in enumerate(slots)]
+
+    assert d.counted(windows(("2", "3"), ("2 7", "3 8"), ("7", "8")), 40) == (3, 5, False)
+    assert d.counted(windows(("2", "2"), ("2 2", "2 3"), ("2", "3"), ("2", "3")), 4) == (2, 7, False)
+    assert d.counted(windows(("2 7", "3 3"), ("2 7", "3 3"), ("2", "2")), 3) is None
+    assert d.counted(windows(*[("2 7", "3 3")] * 9, *[("2", "2")] * 6), 15) == (6, 14, True)
+    assert d.counted(windows(("", ""), ("2", "2")), 40) == (2, 5, True)
