@@ -59,3 +59,61 @@ def test_query_and_odd_rows(spark, sf):
     odd = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>x</p>", "t"), (1, None, "", "t")], "page_id long, url string, html string, text string")
     assert sorted((str(r["id"]), r["text"], r["n_chars"]) for r in htmlmain.extract(odd).collect()) == [("1", "", 0), ("1", "", 0), ("None", "x", 1)]
     assert htmlmain.extract(odd.limit(0)).count() == 0
+
+
+PROBES = [
+    "<div class='container with-sidebar'><article><h1>Head</h1><p>{s}</p></article></div>",
+    "<div id=page class='no-sidebar'><article><h1>Head</h1><p>{s}</p></article></div>",
+    "<div class='post comments-open'><h1>Head</h1><p>{s}</p></div>",
+    "<article><div class='article-header'><h1>Head</h1></div><p>{s}</p></article>",
+    "<article><header><h1>Head</h1></header><p>{s}</p></article>",
+    "<div class='sidebar'><article><h1>Head</h1><p>{s}</p></article></div>",
+    "<h1>Head</h1><div><p>{s}</p></div>",
+    "<h1>Head</h1><p>{s}</p>",
+    "<p class=ad>Buy it now, it is cheap and good and here.<article><h1>Head</h1><p>{s}</p></article>",
+    "<ul class=menu><li>One<li>Two</ul><h1>Head</h1><p>{s}",
+]
+
+
+def test_wrappers_keep_their_text():
+    for probe in PROBES:
+        for paragraphs in (1, 5):
+            body = probe.format(s="</p><p>".join([SENTENCE] * paragraphs))
+            assert htmlmain.main_text(page(NAV + body + "<footer>f</footer>")) == " ".join(["Head"] + [SENTENCE] * paragraphs), probe
+
+
+def test_names():
+    for name in ("ad", "cookie-notice", "siteHeader", "comment-list", "left_sidebar", "x related-posts"):
+        assert htmlmain.named_beside(name), name
+    for name in ("no-sidebar", "with-sidebar", "comments-open", "has-menu", "article-header", "container", "advice", "content"):
+        assert not htmlmain.named_beside(name), name
+
+
+def test_comment_marks_that_are_no_comments():
+    head = "<title>a <!-- b</title><script>if (x <!--y) {}</script><style>/* <!-- */</style>"
+    assert htmlmain.main_text(page(f"<article title='<!-- t'><p>{SENTENCE}</p></article>", head)) == SENTENCE
+    assert htmlmain.main_text(f"<head><title>T</title><p>{SENTENCE}</p>") == SENTENCE  # the head ends where the body must have begun
+    assert htmlmain.main_text(f"<table><tr><td class=ad>{SENTENCE}<td>{SENTENCE}</table>") == SENTENCE
+
+
+BARE = (
+    "<div>" + "".join(f"<a href=/{i}>Go to {i}</a><br>" for i in range(12)) + "</div><div><div>Log in</div><div>Cart</div><div>EUR</div><div>Help</div>" + "".join(f"<div>Topic {i}</div>" for i in range(40)) + "</div>"
+    "<div><h1>Head</h1>" + f"<p>{SENTENCE} {SENTENCE}</p><p>{SENTENCE}</p>" * 4 + "<p>End.</p></div><div><div>Jobs</div><div>Terms</div><div>Press</div><div>Map</div><div>Mail</div></div>"
+)
+
+
+def test_density_alone_finds_the_article(monkeypatch):
+    """No element or class tells anything here: the clusters of smoothed densities pick the part, and others pick another."""
+    want = " ".join(["Head"] + [f"{SENTENCE} {SENTENCE} {SENTENCE}"] * 4 + ["End."])
+    assert htmlmain.main_text(page(BARE)) == want
+    smooth = htmlmain.smoothed
+    monkeypatch.setattr(htmlmain, "smoothed", lambda v: smooth(0 * v))
+    assert "Cart" in htmlmain.main_text(page(BARE))
+    monkeypatch.setattr(htmlmain, "smoothed", lambda v: smooth(-v))
+    assert htmlmain.main_text(page(BARE)) != want and "Cart" in htmlmain.main_text(page(BARE))
+
+
+def test_pages_without_article_elements(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    same = sum(htmlmain.main_text(p["html"]) == htmlmain.main_text(p["html"].replace("<article", "<div").replace("</article", "</div")) for p in rows)
+    assert same >= 0.99 * len(rows)
