@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,12 +112,191 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(label, "fp").select("id", "fp", "component")
 
 
+SIMILAR = 0.8  #: shared share of the five-word shingles of near copies
+SHINGLE = 5
+CANDIDATE_RADIUS = 6
+ALL_PAIRS = 16  #: texts of a bucket whose pairs are all compared at once; of more, each text is compared with one of the others at a time
+
+
+def words_fingerprint(text: bytes, seed: int = 42) -> int:
+    """SimHash of the words of a text, weighted by the roots of their counts: near copies in terms of long shingles are only a few bits apart."""
+    counts = Counter(text.lower().split())
+    words, times = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+    total, ones = 0, np.zeros(BITS, np.int64)
+    for at in range(0, len(words), 65536):
+        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in words[at : at + 65536]], np.uint64)
+        size = (16 * np.sqrt(times[at : at + 65536])).astype(np.int64)
+        ones += size @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
+        total += int(size.sum())
+    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little", signed=True)
+
+
+def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; of the whole text if it is shorter; none without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))], np.uint64).view(np.int64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def buckets(texts: DataFrame, radius: int) -> DataFrame:
+    """(k, h, fp): the places where two or more of the texts (h, fp) collide under a covering mask."""
+    masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
+    keyed = texts.select("h", "fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("t", "mask")).select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"), "h", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, told = None, False  # the last row of all, and whether it has gone out
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in range(3)]
+            if last is not None:
+                rows = [np.concatenate(([x], c)) for x, c in zip(last, rows, strict=True)]
+            same = rows[0][1:] == rows[0][:-1]
+            shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            if last is not None and told:
+                shared[0] = False
+            at = np.flatnonzero(shared)
+            told = bool(shared[-1]) if len(shared) > 1 or last is None else told
+            last = [c[-1] for c in rows]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in rows], names=["k", "h", "fp"])
+
+    return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(run, "k long, h long, fp long")
+
+
+def _proposals(h: np.ndarray, fp: np.ndarray, label: np.ndarray, known: list, radius: int) -> list[tuple[int, int]]:
+    """Pairs of a bucket's texts to compare: within the radius, not joined yet (by label), not compared yet."""
+    n, out = len(h), []
+    todo = np.arange(1, n)
+    for j in range(n - 1):
+        todo = todo[todo > j]
+        if not len(todo):
+            break
+        near = todo[(np.bitwise_count(fp[todo] ^ fp[j]) <= radius) & (label[todo] != label[j])]
+        done = []
+        for i in near.tolist():
+            if known[i] is None or h[j] not in known[i]:
+                out.append((int(h[i]), int(h[j])))
+                done.append(i)
+        if n > ALL_PAIRS and done:
+            todo = np.setdiff1d(todo, done, assume_unique=True)
+    return out
+
+
+def proposals(hits: DataFrame, labels: DataFrame | None, rejected: DataFrame | None, radius: int) -> DataFrame:
+    """(a, b) distinct pairs of texts to compare next."""
+    if labels is None:
+        full = hits.select("*", F.col("h").alias("label"), F.lit(None).cast("array<long>").alias("known"))
+    else:
+        known = rejected.select(F.col("a").alias("h"), "b").union(rejected.select("b", "a")).groupBy("h").agg(F.collect_set("b").alias("known"))
+        full = hits.join(labels.select(F.col("node").alias("h"), F.col("root").alias("label")), "h", "left").join(known, "h", "left").select("k", "h", "fp", F.coalesce("label", "h").alias("label"), "known")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], []]
+        bucket = None
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            if len(held[0]) > 1:
+                h, fp, label = (np.array(c, np.int64) for c in held[:3])
+                if found := _proposals(h, fp.view(np.uint64), label, [None if k is None else set(k) for k in held[3]], radius):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*[(max(p), min(p)) for p in found], strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != bucket:
+                    yield from emit()
+                    bucket, held = k, [[], [], [], []]
+                for c, x in zip(held, row, strict=True):
+                    c.append(x)
+        yield from emit()
+
+    return full.repartition("k").sortWithinPartitions("k", "h").mapInArrow(run, "a long, b long").distinct()
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, same): whether the shingle sets of each pair are as similar as that."""
+    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c) for c in (2, 3))
+            same = [jaccard(a.values.to_numpy(), b.values.to_numpy()) >= similarity for a, b in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["a", "b", "same"])
+
+    return both.mapInArrow(run, "a long, b long, same boolean")
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR, shingle: int = SHINGLE, radius: int = CANDIDATE_RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): (id, h) of each row, h a hash of its text, and (node, root) for each text with a near copy.
+
+    Candidates are texts whose word fingerprints collide under a covering mask
+    and differ in at most ``radius`` bits; those with that similarity of their
+    distinct shingles are linked. In a bucket of many texts each is compared
+    with one other at a time, in rounds, until no two texts of a bucket are
+    left that are within the radius, in different groups and not compared yet:
+    tight groups need a comparison per text, and no link is lost.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([words_fingerprint(t) for t in as_bytes(batch.column(2))], pa.int64())], names=["id", "h", "fp"])
+
+    rows = written(picked.mapInArrow(mark, "id long, h long, fp long"), "near-rows")
+    hits = written(buckets(rows.select("h", "fp").distinct(), radius), "near-buckets")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle) for t in as_bytes(batch.column(1))], pa.list_(pa.int64()))], names=["h", "s"])
+
+    sets, links, rejected, roots = None, None, None, None
+    while True:
+        pairs = written(proposals(hits, roots, rejected, radius), "near-pairs")
+        if not pairs.limit(1).count():
+            break
+        wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("h"), "h", "left_anti")
+        if sets is None or wanted.limit(1).count():
+            first = picked.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+            more = written(first.mapInArrow(cut, "h long, s array<long>"), "near-sets")
+            sets = more if sets is None else sets.union(more)
+        done = written(compared(pairs, sets, similarity), "near-compared")
+        good, bad = done.where("same").select("a", "b"), done.where("not same").select("a", "b")
+        links, rejected = (good, bad) if links is None else (links.union(good), rejected.union(bad))
+        if roots is None or good.limit(1).count():
+            roots = connected_components(links, "near-links")
+    if roots is None:
+        roots = spark.createDataFrame([], "node long, root long")
+    return rows.select("id", "h"), roots
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of the smallest id of each component, once each, with all columns of ``docs``.
+    """One row of each group of near copies (``similar_texts``), with all columns of ``docs``.
 
-    A row without an id can't stand for a group and is left alone.
+    Of a group stays the row with the smallest id; of rows with that id, the
+    one with the smallest hash of its text; of equal ones, any. Rows that share
+    an id but not the text are judged apart: unlike ones all stay. Null, empty
+    and blank texts are near copies of each other. A row without an id can't
+    stand for a group and is left alone.
     """
-    keep = near_duplicates(docs, id_col, text_col, **options).select(F.col("component").alias("__sf_keep")).distinct()
-    known = docs.where(F.col(id_col).isNotNull())
-    kept = known.join(keep, F.col(id_col).cast("long") == F.col("__sf_keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    rows, roots = similar_texts(docs, id_col, text_col, **options)
+    known = rows.where("id is not null").groupBy("id", "h").agg(F.count("*").alias("n"))
+    grouped = known.join(roots.withColumnRenamed("node", "h"), "h", "left").select("id", "h", "n", F.coalesce("root", "h").alias("root"))
+    grouped = written(grouped, "near-groups")
+    best = grouped.groupBy("root").agg(F.min(F.struct("id", "h")).alias("best"))
+    judged = grouped.join(best, "root").select("id", "h", "n", ((F.col("best.id") == F.col("id")) & (F.col("best.h") == F.col("h"))).alias("stays"))
+    judged = written(judged, "near-judged")
+    names = {"id": "__sf_near_id", "h": "__sf_near_h"}
+    marked = docs.withColumns({"__sf_near_id": F.col(id_col).cast("long"), "__sf_near_h": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    kept = marked.join(judged.where("not stays").select("id", "h").withColumnsRenamed(names), list(names.values()), "left_anti")
+    twice = judged.where("stays and n > 1").select("id", "h").withColumnsRenamed(names)
+    if twice.limit(1).count():  # rows that are equal in id and text
+        kept = kept.join(twice, list(names.values()), "left_anti").unionByName(kept.join(twice, list(names.values()), "left_semi").dropDuplicates(list(names.values())))
+    return kept.select(*docs.columns)

@@ -85,7 +85,8 @@ def test_odd_rows(make_docs, spark):
     assert rows == sorted([(5, 3), (3, 3), (9, 3), (None, 7), (7, 7), (7, 7), (8, 7), (1, 1), (2, 1)], key=str)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "7", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "7", "None"]  # 1 and 2: one of two distinct shingles
+    assert len(kept.columns) > 6  # columns of clashing names stay
     empty = make_docs([])
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
@@ -99,3 +100,66 @@ def test_components_of_a_path_and_a_star(spark):
 def test_no_collected_groups(spark, sf):
     plan = simhash.links(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("fp")))._jdf.queryExecution().toString()
     assert "collect_" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def noisy(rng, words, share):
+    return " ".join(rng.choice(["changed", "other", "made", "up"]) + str(rng.random()) if rng.random() < share else w for w in words)
+
+
+def brute_groups(texts, radius=64):
+    fps = [simhash.words_fingerprint((t or "").encode()) & (2**64 - 1) for t in texts]
+    sets = [simhash.shingle_set((t or "").encode()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            s, t = set(sets[a].tolist()), set(sets[b].tolist())
+            if len(s & t) >= 0.8 * len(s | t) and (fps[a] ^ fps[b]).bit_count() <= radius:
+                pairs += 1
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(len(texts))], pairs
+
+
+def test_near_copies_equal_brute_force(spark, make_docs, monkeypatch):
+    """Groups of texts that differ in one word of fifty and more, chains of them, and unlike texts of the same words."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 20)):
+            texts.append(noisy(rng, base, 0.008))
+        shuffled = base[:]
+        rng.shuffle(shuffled)
+        texts.append(" ".join(shuffled))  # the same fingerprint, no shingle in common
+    texts += ["", " \t", "one two three"]
+    want, _ = brute_groups(texts, simhash.CANDIDATE_RADIUS)
+    for at_once in (8, 2):
+        monkeypatch.setattr(simhash, "ALL_PAIRS", at_once)
+        kept = {r["doc_id"] for r in simhash.keep_one(make_docs(list(enumerate(texts)))).collect()}
+        assert kept == set(want)
+
+
+def test_rows_that_share_an_id(make_docs):
+    a, b, c = ("alpha beta gamma delta epsilon zeta " + x for x in ("one", "two three four five six", "seven nine"))
+    docs = make_docs([(1, a), (7, b), (7, c), (7, b), (3, b), (8, c), (None, c), (None, c), (9, None), (10, ""), (11, "")])
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (3, b), (7, c), (None, c), (None, c), (9, None)], key=str)
+
+
+def test_recall_of_near_copies(spark):
+    """Of the pairs of distinct texts of the corpus at 0.8 or more, the share that ends in one group."""
+    texts = sorted({r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r["text"]})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, _ = brute_groups(texts)
+    kept = simhash.keep_one(docs).count()
+    lost = kept - len(set(want))
+    assert lost >= 0  # nothing is joined that is not similar
+    assert lost <= 0.1 * (len(texts) - len(set(want)))
