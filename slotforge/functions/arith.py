@@ -76,6 +76,12 @@ def xorshift(x: Column) -> Column:
     return x.bitwiseXOR(F.shiftleft(x, 17))
 
 
+def xorshift_below(x: Column, n: Column | int) -> tuple[Column, Column]:
+    """(next state, a number below n) of the generator."""
+    state = xorshift(x)
+    return state, remap(state, n)
+
+
 def np_mix(x: np.ndarray) -> np.ndarray:
     return x * np.uint64(MIX)
 

@@ -47,17 +47,26 @@ def hash_columns(df: DataFrame, columns: list[str], seed: int, family: str) -> t
         one = F.xxhash64(F.lit(signed(seed)), *keys)
         return one, one
     if family == "md5":
-        text = F.concat_ws("\x1f", *[k.cast("string") for k in keys])
+        text = keys[0].cast("string") if len(keys) == 1 else F.concat(*[_framed(k) for k in keys])
         digest = F.md5(F.concat(F.lit(f"{seed}:"), text) if seed else text)
         return _hex_word(digest, 1), _hex_word(digest, 17)
     if family == "xxh128":
         if len(keys) != 1:
             raise ValueError("xxh128 takes one key column")
-        words = _xxh128(seed)(keys[0])
-        return words["high"], words["low"]
+        kind = df.schema[columns[0]].dataType
+        blank = F.lit(0).cast("long") if isinstance(kind, T.IntegralType) else F.lit(b"" if isinstance(kind, T.BinaryType) else "")
+        words = _xxh128(seed)(F.coalesce(keys[0], blank))  # a null among integers would make floats of them
+        known = keys[0].isNotNull()
+        return F.when(known, words["high"]), F.when(known, words["low"])
     raise ValueError(f"hash family {family!r} is none of {FAMILIES}")
 
 
+def _framed(key: Column) -> Column:
+    """A key with its length before it, so that no two lists of keys look alike; null has a mark of its own."""
+    text = key.cast("string")
+    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def _xxh128(seed: int):
     @F.pandas_udf("high long, low long")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

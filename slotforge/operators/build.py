@@ -7,17 +7,21 @@ from dataclasses import dataclass, field
 from time import perf_counter
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bucketers, hashing
 from ..functions.arith import mix, remap
 from ..plans import sizing
 from ..plans.config import MphConfig
+from . import encoders
 from .ranks import paired, prefix_sums
 from .search import RESULT, kernel
 
-GROUP_KEYS = 1 << 18  #: keys whose partitions advance in lockstep in one task
+GROUP_KEYS = 1 << 18  #: keys whose partitions are searched together in one task, at most
+LEAST_GROUP = 1 << 12  #: and at least, however many cores there are
+TASKS_PER_CORE = 2
+REDIRECT = 4096  #: slots whose targets stand in one row; as many as a dense partition has
 
 
 class BuildError(RuntimeError):
@@ -33,8 +37,9 @@ class MphModel:
     """A built function.
 
     partitions (pid, n, m, n_offset, m_offset, max_pilot, empty_buckets,
-    largest_bucket), pilots (pid, bucket, pilot), free (slot, target). A slot
-    is counted over all partitions: m_offset + place.
+    largest_bucket), encoded (the pilots as ``config.encoder`` packs them, see
+    ``encoders``), free (slot, target). A slot is counted over all partitions:
+    m_offset + place.
     """
 
     config: MphConfig
@@ -45,47 +50,76 @@ class MphModel:
     num_partitions: int
     num_buckets: int
     partitions: DataFrame
-    pilots: DataFrame
+    encoded: DataFrame
     free: DataFrame
     seconds: dict[str, float] = field(default_factory=dict, compare=False)
+    _made: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
-    def place(self, df: DataFrame, columns: list[str] | None = None) -> tuple:
-        """(pid, bucket, second) columns of the keys of ``df``."""
-        return key_place(df, list(columns or self.key_columns), self.config, self.seed, self.num_partitions, self.num_buckets)
+    @property
+    def pilots(self) -> DataFrame:
+        """(pid, bucket, pilot), decoded."""
+        rows = self.table.select("pid", "part", F.posexplode("pilots").alias("i", "pilot"))
+        return rows.select("pid", (F.col("part") * encoders.RANGE + F.col("i")).alias("bucket"), "pilot")
+
+    @property
+    def table(self) -> DataFrame:
+        """What lookups read: (pid, part, n, m, n_offset, m_offset, pilots): RANGE decoded pilots a row; made once and kept."""
+        if "table" not in self._made:
+            facts = self.partitions.select("pid", "n", "m", "n_offset", "m_offset")
+            arrays = encoders.pilot_arrays(self.encoded, self.config, self.num_partitions)
+            self._made["table"] = arrays.join(facts, "pid").select("pid", "part", "n", "m", "n_offset", "m_offset", "pilots").persist(StorageLevel.MEMORY_AND_DISK)
+        return self._made["table"]
+
+    @property
+    def redirects(self) -> DataFrame:
+        """(g, targets): the targets of the slots from g * REDIRECT on, -1 where a slot has none; made once and kept."""
+        if "redirects" not in self._made:
+            self._made["redirects"] = redirect_arrays(self.free).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._made["redirects"]
+
+    def release(self) -> None:
+        """Gives back what is kept; the function still works, at the price of making it again."""
+        for df in (self.partitions, self.encoded, self.free, *self._made.values()):
+            df.unpersist()
+        self._made.clear()
 
     def lookup(self, df: DataFrame, key_cols: list[str] | None = None, out: str = "pos") -> DataFrame:
         """``df`` with each key's position, [0, n) if minimal and [0, m) if not.
 
         A key that was not in the set gets some position in range; a null key
-        gets null. Joins by (pid, bucket), so the pilots never need to fit a
-        task; Spark broadcasts them when they are small. Added columns start with __mph_ and go.
+        gets null. Keys meet rows of RANGE pilots by partition and bucket range,
+        and those that fall beyond the positions meet rows of REDIRECT targets:
+        Spark broadcasts the rows if they are few and shuffles otherwise. Keys
+        that need no row (null ones; those in place) are dealt out, so that no
+        task gets them all. Added columns start with __mph_ and go.
         """
         columns = list(key_cols or self.key_columns)
         if not self.num_keys:
             return df.withColumn(out, F.lit(None).cast("long"))
-        pid, bucket, second = self.place(df, columns)
-        null = None
-        for c in columns:
-            null = F.col(c).isNull() if null is None else null | F.col(c).isNull()
-        keyed = df.select("*", F.when(~null, pid).alias("__mph_pid"), F.when(~null, bucket).alias("__mph_bucket"), F.when(~null, second).alias("__mph_second"))
-        table = self.pilots.join(self.partitions.select("pid", "n", "m", "n_offset", "m_offset"), "pid")
-        table = table.select(*[F.col(c).alias(f"__mph_t_{c}") for c in ("pid", "bucket", "pilot", "n", "m", "n_offset", "m_offset")])
-        met = keyed.join(table, (F.col("__mph_pid") == F.col("__mph_t_pid")) & (F.col("__mph_bucket") == F.col("__mph_t_bucket")), "left")
-        place = remap(mix(F.col("__mph_second").bitwiseXOR(mix(F.col("__mph_t_pilot")))), F.col("__mph_t_m"))
-        met = met.withColumn("__mph_place", place)
+        nowhere = -1 - F.spark_partition_id().cast("long")
+        keyed = with_place(df, columns, self.config, self.seed, self.num_partitions, self.num_buckets).withColumn("__mph_pid", F.coalesce("__mph_pid", nowhere))
+        table = self.table.select(*[F.col(c).alias(f"__mph_t_{c}") for c in self.table.columns])
+        meets = F.col("__mph_pid") == F.col("__mph_t_pid")
+        if self.num_buckets > encoders.RANGE:
+            keyed = keyed.withColumn("__mph_part", F.coalesce(F.floor(F.col("__mph_bucket") / encoders.RANGE), F.lit(0)))
+            meets = meets & (F.col("__mph_part") == F.col("__mph_t_part"))
+        met = keyed.join(table, meets, "left")
+        pilot = F.try_element_at("__mph_t_pilots", (F.col("__mph_bucket") - F.col("__mph_t_part") * encoders.RANGE + 1).cast("int"))
+        met = met.withColumn("__mph_pilot", pilot).withColumn("__mph_mixed", F.col("__mph_second").bitwiseXOR(mix(F.col("__mph_pilot"))))
+        met = met.withColumn("__mph_mixed", mix(F.col("__mph_mixed"))).withColumn("__mph_place", remap(F.col("__mph_mixed"), F.col("__mph_t_m")))
         slot = F.col("__mph_t_m_offset") + F.col("__mph_place")
         if not self.config.minimal:
             return met.select(*[F.col(c) for c in df.columns], slot.alias(out))
-        if self.config.mode == "dense":
-            direct = F.when(slot < self.num_keys, slot)
-        else:
-            direct = F.when(F.col("__mph_place") < F.col("__mph_t_n"), F.col("__mph_t_n_offset") + F.col("__mph_place"))
-        met = met.withColumn("__mph_direct", direct).withColumn("__mph_slot", F.when(direct.isNull(), slot))
-        free = self.free.select(F.col("slot").alias("__mph_free"), F.col("target").alias("__mph_target"))
-        done = met.join(free, F.col("__mph_slot") == F.col("__mph_free"), "left")
-        known = F.col("__mph_pid").isNotNull()
-        stray = F.when(known, F.lit(0).cast("long"))  # a foreign key that meets no used slot, or a partition without keys
-        return done.select(*[F.col(c) for c in df.columns], F.coalesce("__mph_direct", "__mph_target", stray).alias(out))
+        direct = F.when(slot < self.num_keys, slot) if self.config.mode == "dense" else F.when(F.col("__mph_place") < F.col("__mph_t_n"), F.col("__mph_t_n_offset") + F.col("__mph_place"))
+        known = F.col("__mph_pid") >= 0
+        kept = [F.col(c) for c in df.columns]
+        found = met.select(*kept, known.alias("__mph_known"), direct.alias("__mph_direct"), F.when(direct.isNull(), slot).alias("__mph_slot"))
+        found = found.withColumn("__mph_g", F.coalesce(F.floor(F.col("__mph_slot") / REDIRECT), nowhere))
+        free = self.redirects.select(F.col("g").alias("__mph_free"), F.col("targets").alias("__mph_targets"))
+        done = found.join(free, F.col("__mph_g") == F.col("__mph_free"), "left")
+        target = F.try_element_at("__mph_targets", (F.col("__mph_slot") - F.col("__mph_g") * REDIRECT + 1).cast("int"))
+        stray = F.when(F.col("__mph_known"), F.lit(0).cast("long"))  # a foreign key that meets no used slot, or a partition without keys
+        return done.select(*kept, F.coalesce("__mph_direct", F.when(target >= 0, target), stray).alias(out))
 
     def lookup_verified(self, df: DataFrame, keys: DataFrame, key_cols: list[str] | None = None, out: str = "pos") -> DataFrame:
         """Like lookup, but null for keys that ``keys``, the set the function was built on, does not hold."""
@@ -108,10 +142,33 @@ class MphModel:
         return row.withColumn("ok", good)
 
 
-def key_place(df: DataFrame, columns: list[str], config: MphConfig, seed: int, partitions: int, buckets: int) -> tuple:
+def with_place(df: DataFrame, columns: list[str], config: MphConfig, seed: int, partitions: int, buckets: int) -> DataFrame:
+    """``df`` with __mph_pid, __mph_bucket and __mph_second, null for null keys."""
     first, second = hashing.hash_columns(df, columns, seed, config.hash_family)
-    pid = bucketers.uniform(hashing.mixed(first, second, config.hash_family), partitions) if partitions > 1 else F.lit(0).cast("long")
-    return pid, bucketers.EXPRESSIONS[config.bucketer](first, buckets), second
+    null = any_null(columns)
+    hashed = df.withColumns({"__mph_first": F.when(~null, first), "__mph_second": F.when(~null, second)})
+    pid = bucketers.uniform(hashing.mixed(F.col("__mph_first"), F.col("__mph_second"), config.hash_family), partitions) if partitions > 1 else F.when(F.col("__mph_first").isNotNull(), F.lit(0).cast("long"))
+    return bucketers.with_bucket(hashed.withColumn("__mph_pid", pid), config.bucketer, "__mph_first", buckets, "__mph_bucket").drop("__mph_first")
+
+
+def any_null(columns: list[str]) -> Column:
+    null = F.col(columns[0]).isNull()
+    for c in columns[1:]:
+        null = null | F.col(c).isNull()
+    return null
+
+
+def redirect_arrays(free: DataFrame) -> DataFrame:
+    """(g, targets) from (slot, target)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(group: pa.Table) -> pa.Table:
+        out = np.full(REDIRECT, -1, np.int64)
+        out[group.column("slot").to_numpy() % REDIRECT] = group.column("target").to_numpy()
+        return pa.table({"g": group.column("g").slice(0, 1), "targets": pa.array([out], pa.list_(pa.int64()))})
+
+    return free.select(F.floor(F.col("slot") / REDIRECT).alias("g"), "slot", "target").groupBy("g").applyInArrow(run, "g long, targets array<long>")
 
 
 def plan(n: int, config: MphConfig) -> tuple[int, int]:
@@ -123,17 +180,19 @@ def plan(n: int, config: MphConfig) -> tuple[int, int]:
     else:
         average = n
     if average > config.most_keys:
-        raise BuildError(f"{average} keys are too many for one task: use partitioned or dense mode")
+        about = sizing.kernel_bytes(average, sizing.table_size(average, config.alpha), sizing.num_buckets(average, config.lam)) >> 20
+        raise BuildError(f"{average} keys are too many for one task (about {about} MB): use partitioned or dense mode")
     return sizing.num_partitions(n, average), max(1, sizing.num_buckets(average, config.lam))
 
 
-def build(df: DataFrame, key_cols: list[str] | str, config: MphConfig | None = None) -> MphModel:
+def build(df: DataFrame, key_cols: list[str] | str, config: MphConfig | None = None, phases: bool = False) -> MphModel:
     """The function over the keys of ``df``; rows are keys.
 
     Null keys are an error. Equal keys are an error too, or dropped if the
     configuration says so. No rows give an empty function (except in dense
     mode, which needs 4096 keys). One pass hashes and shuffles the keys; each
-    task searches whole partitions; the driver only sees counts.
+    task searches whole partitions; the driver only sees counts. ``phases``
+    also times hashing and the shuffle by themselves, at the price of doing them twice.
     """
     config = config or MphConfig()
     columns = [key_cols] if isinstance(key_cols, str) else list(key_cols)
@@ -141,17 +200,14 @@ def build(df: DataFrame, key_cols: list[str] | str, config: MphConfig | None = N
     keys = df.select(*columns)
     if config.on_duplicates == "drop":
         keys = keys.distinct()
-    null = None
-    for c in columns:
-        null = F.col(c).isNull() if null is None else null | F.col(c).isNull()
-    n, nulls = keys.agg(F.count("*"), F.count_if(null)).first()
+    n, nulls = keys.agg(F.count("*"), F.count_if(any_null(columns))).first()
     if nulls:
         raise ValueError(f"{nulls} null keys")
     hashing.guard_collisions(config.hash_family, n)
     spark = df.sparkSession
     if not n and config.mode != "dense":
         empty = spark.createDataFrame([], "pid long, n long, m long, n_offset long, m_offset long, max_pilot long, empty_buckets long, largest_bucket long")
-        return MphModel(config, tuple(columns), config.seed or 0, 0, 0, 0, 0, empty, spark.createDataFrame([], "pid long, bucket long, pilot long"), spark.createDataFrame([], "slot long, target long"))
+        return MphModel(config, tuple(columns), config.seed or 0, 0, 0, 0, 0, empty, spark.createDataFrame([], encoders.ENCODED), spark.createDataFrame([], "slot long, target long"))
     partitions, buckets = plan(n, config)
     dense = config.mode == "dense"
     seconds = {"planning": perf_counter() - began}
@@ -159,13 +215,18 @@ def build(df: DataFrame, key_cols: list[str] | str, config: MphConfig | None = N
     for _ in range(1 if config.seed is not None else config.max_attempts):
         seed = config.seed if config.seed is not None else random.getrandbits(63)
         began = perf_counter()
-        pid, bucket, second = key_place(keys, columns, config, seed, partitions, buckets)
-        per_group = max(1, GROUP_KEYS * partitions // max(1, n))
-        placed = keys.select(pid.alias("pid"), bucket.alias("bucket"), second.alias("payload")).withColumn("part_group", F.floor(F.col("pid") / per_group))
+        together = max(LEAST_GROUP, min(GROUP_KEYS, n // (TASKS_PER_CORE * spark.sparkContext.defaultParallelism)))
+        per_group = max(1, together * partitions // max(1, n))  # the result does not depend on it
+        placed = with_place(keys, columns, config, seed, partitions, buckets).select(F.col("__mph_pid").alias("pid"), F.col("__mph_bucket").alias("bucket"), F.col("__mph_second").alias("payload")).withColumn("part_group", F.floor(F.col("pid") / per_group))
+        seconds["mapping"] = 0.0
+        if phases:
+            placed.repartition("part_group").write.format("noop").mode("overwrite").save()
+            seconds["mapping"] = perf_counter() - began
+            began = perf_counter()
         work = kernel(sizing.DENSE_SLOTS if dense else None, config.alpha, buckets, config.max_pilot, n)
         found = placed.groupBy("part_group").applyInArrow(work, RESULT).persist(StorageLevel.MEMORY_AND_DISK)
         reasons = {r["problem"]: r["count"] for r in found.where("problem is not null").groupBy("problem").count().collect()}  # four kinds at most
-        seconds["searching"] = perf_counter() - began
+        seconds["searching"] = max(0.0, perf_counter() - began - seconds["mapping"])
         if not reasons:
             break
         found.unpersist()
@@ -180,7 +241,7 @@ def build(df: DataFrame, key_cols: list[str] | str, config: MphConfig | None = N
         if dense:
             known = known.withColumn("m", F.lit(sizing.DENSE_SLOTS).cast("long"))
     known = prefix_sums(known, "pid", {"n_offset": "n", "m_offset": "m"}).persist(StorageLevel.MEMORY_AND_DISK)
-    pilots = found.select("pid", F.posexplode("pilots").alias("bucket", "pilot")).select("pid", F.col("bucket").cast("long").alias("bucket"), "pilot")
+    encoded = encoders.encoded(found.select("pid", "pilots"), config, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     m = known.agg(F.sum("m")).first()[0]
     free = spark.createDataFrame([], "slot long, target long")
     if config.minimal and m > n:
@@ -194,8 +255,13 @@ def build(df: DataFrame, key_cols: list[str] | str, config: MphConfig | None = N
             moves = found.select("pid", F.explode(F.arrays_zip("above", "gaps")).alias("x")).join(known.select("pid", "n_offset", "m_offset"), "pid")
             free = moves.select((F.col("m_offset") + F.col("x.above")).alias("slot"), (F.col("n_offset") + F.col("x.gaps")).alias("target"))
         free = free.persist(StorageLevel.MEMORY_AND_DISK)
+        free.count()
     seconds["assembling"] = perf_counter() - began
-    return MphModel(config, tuple(columns), seed, n, m, partitions, buckets, known, pilots.persist(StorageLevel.MEMORY_AND_DISK), free, seconds)
+    began = perf_counter()
+    encoded.count()
+    seconds["encoding"] = perf_counter() - began
+    found.unpersist()
+    return MphModel(config, tuple(columns), seed, n, m, partitions, buckets, known, encoded, free, seconds)
 
 
 def _empty_slots(spark, found: DataFrame, partitions: int, n: int) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
+from dataclasses import replace
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bucketers import DENSE_BUCKETS
-from .build import MphModel
+from ..plans.config import MphConfig
+
+if TYPE_CHECKING:
+    from .build import MphModel
 
 BLOCK = 256  #: values that share a width in PC
 CHUNK = 1 << 16  #: values of a sequence that are packed together
+RANGE = 1 << 12  #: pilots of a partition that stand in one row of what lookups read
 ENCODED = "seq long, chunk long, n long, encoder string, data binary, bits long"
 
 
@@ -154,29 +161,86 @@ def decode_values(name: str, data: bytes, n: int) -> np.ndarray:
 
 def sequences(model: MphModel, encoder: str) -> DataFrame:
     """(seq, i, value): plain: a sequence per partition; dense: one, bucket by bucket; -int: a sequence per bucket over the partitions."""
+    return _sequences(model.pilots, model.config.mode, encoder, model.num_partitions)
+
+
+def _sequences(pilots: DataFrame, mode: str, encoder: str, partitions: int) -> DataFrame:
     pid, bucket = F.col("pid"), F.col("bucket")
-    if model.config.mode != "dense":
+    if mode != "dense":
         seq, i = pid, bucket
     elif encoder.endswith("-int"):
         seq, i = bucket, pid
     else:
-        seq, i = F.lit(0).cast("long"), bucket * model.num_partitions + pid
-    return model.pilots.select(seq.alias("seq"), i.alias("i"), F.col("pilot").alias("value"))
+        seq, i = F.lit(0).cast("long"), bucket * partitions + pid
+    return pilots.select(seq.alias("seq"), i.alias("i"), F.col("pilot").alias("value"))
+
+
+def _chunked(values: DataFrame, name: str) -> DataFrame:
+    plain = name.removesuffix("-int")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("i")
+        values, at = group.column("value").to_numpy(), group.column("i").to_numpy() % CHUNK
+        full = np.zeros(int(at[-1]) + 1, np.int64)  # a partition without keys has zeros
+        full[at] = values
+        data, bits = encode_values(plain, full)
+        return pa.table({"seq": group.column("seq").slice(0, 1), "chunk": group.column("chunk").slice(0, 1), "n": pa.array([len(full)], pa.int64()), "encoder": [name], "data": pa.array([data], pa.binary()), "bits": pa.array([bits], pa.int64())})
+
+    return values.withColumn("chunk", F.floor(F.col("i") / CHUNK).cast("long")).groupBy("seq", "chunk").applyInArrow(run, ENCODED)
 
 
 def encode(model: MphModel, encoder: str | None = None) -> DataFrame:
     """The encoded pilots: (seq, chunk, n, encoder, data, bits)."""
     name = encoder or model.config.encoder
     model.config.but(encoder=name)  # refuses encoders that the mode does not have
-    plain = name.removesuffix("-int")
+    return model.encoded if name == model.config.encoder else _chunked(sequences(model, name), name)
 
-    def run(group: pa.Table) -> pa.Table:
-        values = group.sort_by("i").column("value").to_numpy()
-        data, bits = encode_values(plain, values)
-        return pa.table({"seq": group.column("seq").slice(0, 1), "chunk": group.column("chunk").slice(0, 1), "n": pa.array([len(values)], pa.int64()), "encoder": [name], "data": pa.array([data], pa.binary()), "bits": pa.array([bits], pa.int64())})
 
-    chunked = sequences(model, name).withColumn("chunk", F.floor(F.col("i") / CHUNK).cast("long"))
-    return chunked.groupBy("seq", "chunk").applyInArrow(run, ENCODED)
+def with_encoder(model: MphModel, encoder: str) -> MphModel:
+    """The same function, its pilots packed by another encoder."""
+    return replace(model, config=model.config.but(encoder=encoder), encoded=encode(model, encoder), _made={})
+
+
+def encoded(found: DataFrame, config: MphConfig, partitions: int) -> DataFrame:
+    """The pilots (pid, pilots array) as ``config.encoder`` packs them. Sequences of single partitions are packed where they are."""
+    name = config.encoder
+    if config.mode == "dense":
+        pilots = found.select("pid", F.posexplode("pilots").alias("bucket", "pilot")).withColumn("bucket", F.col("bucket").cast("long"))
+        return _chunked(_sequences(pilots, "dense", name, partitions), name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pid, pilots in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = pilots.values.to_numpy()
+                for chunk, at in enumerate(range(0, len(values), CHUNK)):
+                    data, bits = encode_values(name, values[at : at + CHUNK])
+                    row = [pid], [chunk], [len(values[at : at + CHUNK])], [name], [data], [bits]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()), strict=True)], names=["seq", "chunk", "n", "encoder", "data", "bits"])
+
+    return found.mapInArrow(run, ENCODED)
+
+
+def pilot_arrays(encoded: DataFrame, config: MphConfig, partitions: int) -> DataFrame:
+    """(pid, part, pilots): the decoded pilots, RANGE of a partition in a row."""
+    if config.mode != "dense":
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for seq, chunk, n, name, data in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                    values = decode_values(name, data, n)
+                    parts = [values[at : at + RANGE] for at in range(0, n, RANGE)]
+                    first = chunk * (CHUNK // RANGE)
+                    yield pa.RecordBatch.from_arrays([pa.array([seq] * len(parts), pa.int64()), pa.array(range(first, first + len(parts)), pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["pid", "part", "pilots"])
+
+        return encoded.select("seq", "chunk", "n", "encoder", "data").mapInArrow(run, "pid long, part long, pilots array<long>")
+    values = decode(encoded)
+    if config.encoder.endswith("-int"):
+        pid, bucket = F.col("i"), F.col("seq")
+    else:
+        pid, bucket = F.pmod("i", F.lit(partitions)), F.floor(F.col("i") / partitions)
+    placed = values.select(pid.alias("pid"), bucket.alias("bucket"), F.col("value").alias("pilot"))
+    rows = placed.groupBy("pid", F.floor(F.col("bucket") / RANGE).alias("part")).agg(F.sort_array(F.collect_list(F.struct("bucket", "pilot"))).alias("all"))  # RANGE at most
+    return rows.select("pid", "part", F.col("all.pilot").alias("pilots"))
 
 
 def decode(encoded: DataFrame) -> DataFrame:
@@ -186,7 +250,7 @@ def decode(encoded: DataFrame) -> DataFrame:
         for batch in batches:
             for seq, chunk, n, name, data in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 values = decode_values(name.removesuffix("-int"), data, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, seq)), pa.array(chunk * CHUNK + np.arange(n)), pa.array(values)], names=["seq", "i", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, seq, np.int64)), pa.array(chunk * CHUNK + np.arange(n)), pa.array(values)], names=["seq", "i", "value"])
 
     return encoded.select("seq", "chunk", "n", "encoder", "data").mapInArrow(run, "seq long, i long, value long")
 
@@ -216,11 +280,11 @@ def block_widths(values: DataFrame, index: str, value: str) -> DataFrame:
 
 
 def dictionary_codes(values: DataFrame, value: str) -> DataFrame:
-    """D as SQL: (value, n, code), frequent values first; the dictionary is ranked by count classes, not in one task."""
-    from .ranks import ranked
+    """D as SQL: (value, n, code), frequent values first. Ranges of (count, value) are ranked each, so the many values of one count make no large group."""
+    from .ranks import ranked_in_ranges
 
     counts = values.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    return ranked(counts.withColumn("fall", -F.col("n")), "fall", "value", "code").select("value", "n", "code")
+    return ranked_in_ranges(counts.withColumn("fall", -F.col("n")), ["fall", "value"], "code").select("value", "n", "code")
 
 
 def entropy(values: DataFrame, value: str) -> DataFrame:

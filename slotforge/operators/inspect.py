@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.config import MphConfig
-from .build import key_place
+from .build import with_place
 from .ranks import prefix_sums
 
 
 def placement(df: DataFrame, columns: list[str], config: MphConfig, partitions: int, buckets: int) -> DataFrame:
     """(pid, bucket, payload) of each key."""
-    pid, bucket, second = key_place(df, columns, config, config.seed or 0, partitions, buckets)
-    return df.select(pid.alias("pid"), bucket.alias("bucket"), second.alias("payload"))
+    placed = with_place(df.select(*columns), columns, config, config.seed or 0, partitions, buckets)
+    return placed.select(F.col("__mph_pid").alias("pid"), F.col("__mph_bucket").alias("bucket"), F.col("__mph_second").alias("payload"))
 
 
 def partition_sizes(placed: DataFrame) -> DataFrame:

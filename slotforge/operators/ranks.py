@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 CHUNK = 4096
+RANGE_ROWS = 1 << 20  #: rows ranked by one task
 
 
 def prefix_sums(df: DataFrame, key: str, values: dict[str, str]) -> DataFrame:
@@ -32,6 +35,19 @@ def ranked(df: DataFrame, key: str, within: str, rank: str = "rank") -> DataFram
     return own.join(counts, key).withColumn(rank, (F.col("__own") + F.col("__before")).cast("long")).drop("__own", "__before")
 
 
+def ranked_in_ranges(df: DataFrame, order: list[str], rank: str = "rank", rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with each row's 0-based place in the order of some columns that tell all rows apart.
+
+    Rows are dealt to ranges of about ``rows`` each by sampled bounds and
+    written, so that counts and ranks see the same ranges; each is ranked alone.
+    """
+    ranges = max(1, -(-df.count() // rows))
+    dealt = written(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id().cast("long")), "ranges")
+    before = prefix_sums(dealt.groupBy("__range").agg(F.count("*").alias("__n")), "__range", {"__before": "__n"}).select("__range", "__before")
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return dealt.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn(rank, (F.col("__own") + F.col("__before")).cast("long")).drop("__range", "__own", "__before")  # one row a range
+
+
 def free_slots(used: DataFrame, n: int, group_slots: int = 1 << 16) -> DataFrame:
     """(slot, target): a slot below n for every used slot from n on, both in ascending order.
 

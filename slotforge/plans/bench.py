@@ -24,10 +24,10 @@ def lookup_seconds(model, keys: DataFrame, runs: int = 5) -> float:
 
 
 def measure(keys: DataFrame, columns: list[str], config: MphConfig, names: Iterable[str] | None = None, runs: int = 5, queries: int | None = None, verify: bool = False) -> list[dict]:
-    """One build, then a record for each encoder."""
-    began = perf_counter()
-    model = build(keys, columns, config)
-    total = perf_counter() - began
+    """One build, then a record for each encoder. The phases add up to the total: planning, joining offsets and free slots count as partitioning, hashing and the shuffle as mapping."""
+    model = build(keys, columns, config, phases=True)
+    total = sum(model.seconds.values()) - model.seconds["encoding"]
+    partitioning = model.seconds["planning"] + model.seconds["assembling"]
     asked = keys if queries is None else keys.limit(queries)
     n = max(1, asked.count())
     lookup = lookup_seconds(model, asked, runs) / n * 1e9 if runs else None
@@ -37,19 +37,19 @@ def measure(keys: DataFrame, columns: list[str], config: MphConfig, names: Itera
     for name in names or [config.encoder]:
         began = perf_counter()
         bits = encoders.bits(model, name).first()
-        spent = perf_counter() - began
+        spent = model.seconds["encoding"] if name == config.encoder else perf_counter() - began
         record = {
             "n": model.num_keys, "lambda": config.lam, "alpha": None if config.mode == "dense" else config.alpha, "minimal": config.minimal, "encoder_type": name, "bucketer_type": config.bucketer,
             "avg_partition_size": model.num_keys // max(1, model.num_partitions), "num_partitions": model.num_partitions, "dense_partitioning": config.mode == "dense", "seed": model.seed,
-            "num_threads": keys.sparkSession.sparkContext.defaultParallelism, "external_memory": False, "partitioning_microseconds": int(model.seconds["planning"] * 1e6),
-            "mapping_ordering_microseconds": 0, "searching_microseconds": int(model.seconds["searching"] * 1e6), "encoding_microseconds": int(spent * 1e6),
+            "num_threads": keys.sparkSession.sparkContext.defaultParallelism, "external_memory": False, "partitioning_microseconds": int(partitioning * 1e6),
+            "mapping_ordering_microseconds": int(model.seconds["mapping"] * 1e6), "searching_microseconds": int(model.seconds["searching"] * 1e6), "encoding_microseconds": int(spent * 1e6),
             "total_microseconds": int((total + spent) * 1e6), "pt_bits_per_key": bits["pilot_bits_per_key"], "mapper_bits_per_key": bits["mapper_bits_per_key"], "bits_per_key": bits["total_bits_per_key"], "nanosec_per_key": lookup,
         }
         out.append({k: None if record[k] is None else str(record[k]).lower() if isinstance(record[k], bool) else str(record[k]) for k in RECORD})
     return out
 
 
-def sweep(keys: DataFrame, columns: list[str], lambdas: Iterable[float] = LAMBDAS, alphas: Iterable[float] = ALPHAS, bucketers: Iterable[str] = BUCKETERS, runs: int = RUNS, base: MphConfig | None = None) -> list[dict]:
+def sweep(keys: DataFrame, columns: list[str], lambdas: Iterable[float] = LAMBDAS, alphas: Iterable[float] = ALPHAS, bucketers: Iterable[str] = BUCKETERS, runs: int = RUNS, base: MphConfig | None = None, lookups: int = 5) -> list[dict]:
     """Partitioned builds over lambda x alpha x bucketer, dense ones once for each lambda and bucketer; all encoders each."""
     base = base or MphConfig(mode="partitioned")
     out = []
@@ -57,8 +57,8 @@ def sweep(keys: DataFrame, columns: list[str], lambdas: Iterable[float] = LAMBDA
         for bucketer in bucketers:
             for _ in range(runs):
                 for alpha in alphas:
-                    out += measure(keys, columns, base.but(mode="partitioned", lam=lam, alpha=alpha, bucketer=bucketer, encoder="C"), PLAIN_ENCODERS, queries=None)
-                out += measure(keys, columns, base.but(mode="dense", lam=lam, bucketer=bucketer, encoder="C"), DENSE_ENCODERS, queries=None)
+                    out += measure(keys, columns, base.but(mode="partitioned", lam=lam, alpha=alpha, bucketer=bucketer, encoder="C"), PLAIN_ENCODERS, runs=lookups)
+                out += measure(keys, columns, base.but(mode="dense", lam=lam, bucketer=bucketer, encoder="C"), DENSE_ENCODERS, runs=lookups)
     return out
 
 

@@ -6,6 +6,8 @@ or the md5 family is used, which the SQL computes as well.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from ..sources import keys as sources
 from ..sources import model_io
 from ..sources.scratch import scratch_path
 from ..streaming.lookup import stream_lookup
-from . import report, sizing
-from .config import MphConfig, compact_preset
+from . import bench, report, sizing
+from .config import DENSE_ENCODERS, PLAIN_ENCODERS, MphConfig, compact_preset
 
 SEED = 20240
 SMALL = {"avg_partition_size": 3000, "min_partition_size": 1000}
@@ -39,11 +41,6 @@ def _minimal_sql(source: str) -> str:
     return f"SELECT n, n AS n_distinct, 0::BIGINT AS lowest, n - 1 AS highest, (n * (n - 1) / 2)::DOUBLE AS total, true AS ok FROM (SELECT count(*) AS n FROM {source})"
 
 
-def _dense_or_partitioned(df: DataFrame, **options) -> MphConfig:
-    """Dense where there are keys enough for it: the small scale has too few orders."""
-    return MphConfig(mode="dense", **options) if df.count() >= sizing.DENSE_SLOTS else MphConfig(mode="partitioned", **SMALL, **options)
-
-
 def mph_single(spark, sf):
     return _checked(_table(spark, sf, "customer"), "c_custkey", MphConfig(seed=SEED))
 
@@ -52,14 +49,20 @@ def mph_partitioned(spark, sf):
     return _checked(_table(spark, sf, "orders"), "o_orderkey", MphConfig(mode="partitioned", seed=SEED, **SMALL))
 
 
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct composite keys: enough for dense partitions at every scale."""
+    return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+
+
+_PAIR = ["l_orderkey", "l_linenumber"]
+
+
 def mph_dense(spark, sf):
-    orders = _table(spark, sf, "orders")
-    return _checked(orders, "o_orderkey", _dense_or_partitioned(orders, seed=SEED, bucketer="opt"))
+    return _checked(_lines(spark, sf), _PAIR, MphConfig(mode="dense", seed=SEED, bucketer="opt"))
 
 
 def mph_dense_composite(spark, sf):
-    lines = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    return _checked(lines, ["l_orderkey", "l_linenumber"], compact_preset(lam=5.0, seed=SEED))
+    return _checked(_lines(spark, sf), _PAIR, compact_preset(lam=5.0, seed=SEED))
 
 
 def mph_non_minimal(spark, sf):
@@ -255,11 +258,9 @@ SELECT c_custkey, {_SIGNED.format(x="m")} AS mixed, s::BIGINT AS slot, {_SIGNED.
 
 def encoded_round_trip(spark, sf):
     """Pilots that change in any of the encodings of a partitioned and of a dense function."""
-    orders = _table(spark, sf, "orders").select("o_orderkey")
     rows = None
-    for config, names in ((MphConfig(mode="partitioned", seed=SEED, **SMALL), ("C", "PC", "D", "EF", "R", "C-C", "D-D", "R-R")), (_dense_or_partitioned(orders, seed=SEED), ())):
-        names = names or (("C-int", "D-int", "R-int", "EF") if config.mode == "dense" else ("C", "EF"))
-        model = build(orders, "o_orderkey", config)
+    for df, key, config, names in ((_table(spark, sf, "orders"), "o_orderkey", MphConfig(mode="partitioned", seed=SEED, **SMALL), PLAIN_ENCODERS), (_lines(spark, sf), _PAIR, MphConfig(mode="dense", seed=SEED), DENSE_ENCODERS)):
+        model = build(df, key, config)
         for name in names:
             kept, back = encoders.sequences(model, name), encoders.decode(encoders.encode(model, name))
             lost = kept.exceptAll(back).union(back.exceptAll(kept)).agg(F.count("*").alias("lost"))
@@ -267,6 +268,87 @@ def encoded_round_trip(spark, sf):
     return rows.agg(F.sum("lost").cast("long").alias("lost"))
 
 
+def encoded_lookup(spark, sf):
+    """Lookups through each encoder: a partitioned function over customers, a dense one over order lines."""
+    rows = None
+    for df, key, config, names in ((_table(spark, sf, "customer"), "c_custkey", MphConfig(mode="partitioned", seed=SEED, **SMALL), PLAIN_ENCODERS), (_lines(spark, sf), _PAIR, MphConfig(mode="dense", seed=SEED), DENSE_ENCODERS)):
+        model = build(df, key, config)
+        for name in names:
+            one = encoders.with_encoder(model, name).check(df).select(F.lit(config.mode).alias("mode"), F.lit(name).alias("encoder"), "n", "n_distinct", "lowest", "highest", "ok")
+            rows = one if rows is None else rows.union(one)
+    return rows
+
+
+def _lookup_sql(source: str, mode: str, names: tuple[str, ...]) -> str:
+    return f"SELECT '{mode}' AS mode, unnest({list(names)}) AS encoder, n, n AS n_distinct, 0::BIGINT AS lowest, n - 1 AS highest, true AS ok FROM (SELECT count(*) AS n FROM {source})"
+
+
+def _tiny(spark, sf):
+    """A function over 25 names, small enough for SQL to search as well."""
+    return build(_table(spark, sf, "nation"), "n_name", MphConfig(hash_family="md5", seed=0, bucketer="uniform", lam=2.5, alpha=0.94))
+
+
+def tiny_pilots(spark, sf):
+    return _tiny(spark, sf).pilots.select("bucket", "pilot")
+
+
+def tiny_pilot_entropy(spark, sf):
+    return encoders.entropy(_tiny(spark, sf).pilots, "pilot").select(F.round("entropy", 6).alias("entropy"))
+
+
+def tiny_space(spark, sf):
+    """Bits of the pilots in fixed width and in blocks, a width of 8 bits each."""
+    model = _tiny(spark, sf)
+    return encoders.bits(model, "C").select(F.lit("C").alias("encoder"), "pilot_bits").union(encoders.bits(model, "PC").select(F.lit("PC"), "pilot_bits"))
+
+
+#: 25 keys, 10 buckets, 26 slots; each bucket in turn takes the first pilot whose slots are free.
+_WALK = """WITH RECURSIVE words AS (SELECT ('0x' || substr(md5(n_name), 1, 16))::UBIGINT AS first, ('0x' || substr(md5(n_name), 17, 16))::UBIGINT AS second FROM nation),
+placed AS (SELECT (((first >> 32)::UHUGEINT * 10) >> 32)::BIGINT AS bucket, second FROM words),
+turns AS (SELECT bucket, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, bucket DESC) AS turn FROM placed GROUP BY bucket),
+spread AS (SELECT p, ((p::UHUGEINT * 5871781006564002453::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS s FROM range(20000) t(p)),
+slots AS (SELECT bucket, p, (((((xor(second, s))::UHUGEINT * 5871781006564002453::UHUGEINT) % 18446744073709551616::UHUGEINT) * 26) >> 64)::BIGINT AS slot FROM placed, spread),
+tries AS (SELECT t.turn, t.bucket, p, list(slot) AS slots FROM slots JOIN turns t USING (bucket) GROUP BY t.turn, t.bucket, t.size, p HAVING count(DISTINCT slot) = t.size),
+walk AS (SELECT 0::BIGINT AS turn, []::BIGINT[] AS taken, NULL::BIGINT AS bucket, NULL::BIGINT AS pilot
+  UNION ALL SELECT w.turn + 1, list_concat(any_value(w.taken), arg_min(t.slots, t.p)), any_value(t.bucket), min(t.p)
+  FROM walk w JOIN tries t ON t.turn = w.turn + 1 WHERE NOT list_has_any(t.slots, w.taken) GROUP BY w.turn),
+pilots AS (SELECT b AS bucket, coalesce(pilot, 0) AS pilot FROM range(10) t(b) LEFT JOIN walk ON walk.bucket = b)"""
+
+
+def elias_fano_sums(spark, sf):
+    """Sums of part sizes brand by brand, out of their Elias-Fano codes."""
+    parts = _table(spark, sf, "part").select("p_brand", "p_partkey", F.col("p_size").cast("long").alias("size"))
+
+    def run(group):
+        group = group.sort_by("p_partkey")
+        n = group.num_rows
+        back = encoders.decode_values("EF", encoders.encode_values("EF", group.column("size").to_numpy())[0], n)
+        return pa.table({"p_brand": group.column("p_brand"), "p_partkey": group.column("p_partkey"), "total": pa.array(np.cumsum(back), pa.int64())})
+
+    return parts.groupBy("p_brand").applyInArrow(run, "p_brand string, p_partkey long, total long")
+
+
+def mph_drawn_seed(spark, sf):
+    """Keys with repeats, which are dropped, and a seed that is drawn until one works."""
+    lines = _table(spark, sf, "lineitem").select("l_orderkey")
+    model = build(lines, "l_orderkey", MphConfig(mode="partitioned", on_duplicates="drop", **SMALL))
+    return model.check(lines.distinct()).select("n", "n_distinct", "lowest", "highest", F.col("total").cast("double").alias("total"), "ok")
+
+
+def xorshift_words(spark, sf):
+    state, below = arith.xorshift_below(F.col("c_custkey"), 1000)
+    return _table(spark, sf, "customer").select("c_custkey", state.alias("state"), below.alias("below"))
+
+
+def sweep_grid(spark, sf):
+    """What a small sweep has measured: a record for each encoder of each configuration."""
+    records = bench.sweep(_lines(spark, sf), _PAIR, lambdas=(4.0,), alphas=(0.97,), bucketers=("skew",), runs=1, lookups=1)
+    raw = spark.createDataFrame([tuple(r.values()) for r in records], ", ".join(f"`{c}` string" for c in sources.RECORD))
+    spent = [F.col(f"{c}_microseconds") for c in ("partitioning", "mapping_ordering", "searching", "encoding")]
+    adds_up = F.abs(sum(spent[1:], spent[0]) - F.col("total_microseconds")) <= 5  # rounded down each
+    return sources.cast_records(raw).select("n", "lambda", "alpha", "encoder_type", "dense_partitioning", adds_up.alias("adds_up"), (F.col("bits_per_key") > 0).alias("sized"), (F.col("nanosec_per_key") > 0).alias("looked_up"))
+
+
 def sorted_distinct(spark, sf):
     return report.values(_table(spark, sf, "events"), "event_type")
 
@@ -299,13 +381,14 @@ QUERIES = {
         mph_single, mph_partitioned, mph_dense, mph_dense_composite, mph_non_minimal, mph_string_keys, mph_binary_keys, mph_full_load, partition_sizes, partition_extremes, partition_offsets,
         bucket_histogram, search_order, free_slots, duplicate_keys, sizing_plan, pilot_entropy, compact_blocks, dictionary_codes, prefix_sums, direct_join, dense_group_by, dictionary_encoding,
         membership, line_stats, bench_report, mixed_words, encoded_round_trip, sorted_distinct, stream_positions, saved_function,
+        encoded_lookup, tiny_pilots, tiny_pilot_entropy, tiny_space, elias_fano_sums, mph_drawn_seed, xorshift_words, sweep_grid,
     )
 }
 
 ORACLE_SQL = {
     "mph_single": _minimal_sql("customer"),
     "mph_partitioned": _minimal_sql("orders"),
-    "mph_dense": _minimal_sql("orders"),
+    "mph_dense": _minimal_sql("(SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)"),
     "mph_dense_composite": _minimal_sql("(SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)"),
     "mph_non_minimal": "SELECT count(*) AS n, count(*) AS n_distinct, true AS ok FROM events",
     "mph_string_keys": _minimal_sql("(SELECT DISTINCT url FROM pages)"),
@@ -334,4 +417,15 @@ ORACLE_SQL = {
     "stream_positions": "SELECT user_id, count(*) AS n, 1::BIGINT AS positions FROM events GROUP BY user_id",
     "saved_function": "SELECT count(*) AS n, 0::BIGINT AS changed FROM orders",
     "sorted_distinct": "SELECT DISTINCT event_type FROM events ORDER BY 1",
+    "encoded_lookup": _lookup_sql("customer", "partitioned", PLAIN_ENCODERS) + " UNION ALL " + _lookup_sql("(SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)", "dense", DENSE_ENCODERS),
+    "tiny_pilots": _WALK + " SELECT bucket, pilot FROM pilots",
+    "tiny_pilot_entropy": _WALK + " SELECT round(sum(-p * log2(p)), 6) AS entropy FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM pilots GROUP BY pilot)",
+    "tiny_space": _WALK + " SELECT unnest(['C', 'PC']) AS encoder, 10 * greatest(1, ceil(log2(max(pilot) + 1)))::BIGINT + 8 AS pilot_bits FROM pilots",
+    "elias_fano_sums": "SELECT p_brand, p_partkey, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey)::BIGINT AS total FROM part",
+    "mph_drawn_seed": _minimal_sql("(SELECT DISTINCT l_orderkey FROM lineitem)"),
+    "xorshift_words": f"""WITH a AS (SELECT c_custkey, xor(c_custkey::UHUGEINT, (c_custkey::UHUGEINT << 13) % 18446744073709551616::UHUGEINT) AS x FROM customer),
+b AS (SELECT c_custkey, xor(x, x >> 7) AS x FROM a), c AS (SELECT c_custkey, xor(x, (x * 131072) % 18446744073709551616::UHUGEINT) AS x FROM b)
+SELECT c_custkey, {_SIGNED.format(x="x")} AS state, ((x * 1000) >> 64)::BIGINT AS below FROM c""",
+    "sweep_grid": f"""SELECT n, 4.0::DOUBLE AS "lambda", alpha::DOUBLE AS alpha, encoder_type, dense AS dense_partitioning, true AS adds_up, true AS sized, true AS looked_up
+FROM (SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)), (SELECT unnest({list(PLAIN_ENCODERS)}) AS encoder_type, 0.97 AS alpha, false AS dense UNION ALL SELECT unnest({list(DENSE_ENCODERS)}), NULL, true)""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 #: Fixed values.
-MIN_PARTITION, DENSE_SLOTS, INVALID = 100_000, 4096, (1 << 64) - 1
+MIN_PARTITION, DENSE_SLOTS = 100_000, 4096
 
 
 def num_buckets(n: int, lam: float) -> int:
@@ -42,8 +42,6 @@ def table_size(n: int, alpha: float) -> int:
     return int(n / alpha)
 
 
-def kernel_bytes(n: int, m: int) -> int:
-    """About what one search task holds: hashes and payloads, slots, pilots."""
-    return n * 40 + m + n * 8
-
-
+def kernel_bytes(n: int, m: int, buckets: int) -> int:
+    """About what the search of n keys at once holds: rows and sorted copies (5 words a key), slots, pilots."""
+    return n * 40 + m + buckets * 8

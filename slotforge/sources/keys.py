@@ -19,9 +19,11 @@ RECORD = {
 }
 
 
-def read_lines(spark: SparkSession, path: str, column: str = "key") -> DataFrame:
-    """A key per line. More than one blank line is an error: blank keys would be equal."""
+def read_lines(spark: SparkSession, path: str, column: str = "key", most: int | None = None) -> DataFrame:
+    """A key per line, of the first ``most`` lines if given. More than one blank line is an error: blank keys would be equal."""
     lines = spark.read.text(path).withColumnRenamed("value", column)
+    if most is not None:
+        lines = lines.limit(most)
     if lines.where(F.col(column) == "").limit(2).count() > 1:
         raise ValueError("more than one blank line")
     return lines

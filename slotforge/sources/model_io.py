@@ -1,4 +1,4 @@
-"""Functions as Parquet: a header row and three tables."""
+"""Functions as Parquet: a header row and three tables, the pilots packed by the encoder of the function."""
 
 from __future__ import annotations
 
@@ -10,11 +10,11 @@ from pyspark.sql import SparkSession
 from ..operators.build import MphModel
 from ..plans.config import MphConfig
 
-TABLES = ("partitions", "pilots", "free")
+TABLES = ("partitions", "encoded", "free")
 
 
 def save(model: MphModel, path: str) -> None:
-    spark = model.pilots.sparkSession
+    spark = model.partitions.sparkSession
     header = {"config": json.dumps(asdict(model.config)), "key_columns": json.dumps(model.key_columns), "seed": model.seed, "num_keys": model.num_keys, "table_size": model.table_size, "num_partitions": model.num_partitions, "num_buckets": model.num_buckets}
     schema = "config string, key_columns string, seed decimal(20,0), num_keys long, table_size long, num_partitions long, num_buckets long"
     from decimal import Decimal

@@ -2,16 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a temporary folder only where none is set (tests)."""
+def scratch_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Only a local session without one gets a temporary folder, which goes when Python ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="slotforge-")
+        atexit.register(shutil.rmtree, root, True)
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a frame that ``written`` made, once nothing reads it any more."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = scratch_root(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root.split(":", 1)[-1].lstrip("/") in folder:
+            path = hadoop(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
