@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import removed, written  # noqa: F401
+
 #: Bytes that separate words; also what ``bytes.split()`` splits on.
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -20,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="slotforge-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of each value of a string (or binary) column."""
     if isinstance(column, pa.ChunkedArray):
@@ -123,7 +103,8 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
             large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v")))
         )
-        pairs = written(small.where("u <> v").distinct(), name)
+        old, pairs = pairs, written(small.where("u <> v").distinct(), name)
+        removed(old)
         after = mark(pairs)
         if after == before:
             break

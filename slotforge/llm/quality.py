@@ -210,12 +210,12 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Fit on at most ``most_rows`` labelled documents, those with the smallest hash of the id.
 
     Documents that the base rules fail are no examples: the model never judges
-    them. Conflicting labels of one id count as their lowest; null labels are
+    them. Of rows that share an id, the one with the smallest statistics is the example. Conflicting labels of one id count as their lowest; null labels are
     left out. None without examples of both kinds.
     """
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
-    examples = stats.where(~base_failed()).join(marked, "id").dropDuplicates(["id"])
-    sample = hashed_sample(examples, most_rows, "id").select("features", "y").toPandas()
+    examples = stats.where(~base_failed()).join(marked, "id").groupBy("id").agg(F.min(F.struct(*COUNTS, "features")).alias("own"), F.first("y").alias("y"))
+    sample = hashed_sample(examples, most_rows, "id").select(F.col("own.features").alias("features"), "y").toPandas()
     y = sample["y"].to_numpy(float)
     if len(set(y > 0.5)) < 2:
         return None
@@ -249,9 +249,20 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return score(stats, trees).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
+def labelled_documents(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_rows: int, label_col: str = "quality") -> DataFrame:
+    """The documents of ``most_rows`` labels and a fifth more, those with the smallest hashes: what the base rules fail among them still leaves a sample of that size as a rule."""
+    marked = labels.where(F.col(label_col).isNotNull()).select(F.col("doc_id").cast("long").alias("__sf_id")).dropna().distinct()
+    asked = hashed_sample(marked, most_rows + most_rows // 5, "__sf_id")
+    return docs.select(id_col, text_col).join(asked, F.col(id_col).cast("long") == F.col("__sf_id"), "left_semi")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, most_rows: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns; each row is judged by its own text."""
-    stats = written(with_statistics(docs, id_col, text_col), "quality-statistics")
+    """The rows of ``docs`` that ``judge`` would keep, with all their columns; each row is judged by its own text.
+
+    The statistics of labelled documents (``labelled_documents``) are made to
+    fit the trees, those of all documents once, while they are filtered.
+    """
+    stats = written(with_statistics(labelled_documents(docs, labels, id_col, text_col, most_rows), id_col, text_col), "quality-statistics")
     trees = fit(stats, labels, most_rows=most_rows)
     names = docs.columns
     at = names.index(text_col)
