@@ -10,23 +10,28 @@ from slotforge.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the base rules and the trees keep, each judged by its own text; a null or empty text has no words and goes."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the lines that many documents share but for the largest id's; n_chars is counted anew. A null text becomes an empty one; rows that share an id hold lines as one document."""
     kept = linededup.LineStore.build(docs).apply(docs)
     return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that share 0.8 of their five-word shingles or more, the smallest id's; unlike rows of one id all stay, rows without an id too."""
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that meet no benchmark item, as they are; rows that share an id go together."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each piece of each row in sequences; a null or empty text is its end token."""
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
