@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,20 +114,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SIMILAR = 0.8  #: shared share of the five-word shingles of near copies
 SHINGLE = 5
 CANDIDATE_RADIUS = 6
-ALL_PAIRS = 16  #: texts of a bucket whose pairs are all compared at once; of more, each text is compared with one of the others at a time
+ALL_PAIRS = 16  #: texts of a bucket whose pairs are all compared at once
+AT_ONCE = 2  #: others that each text of a larger bucket is compared with at a time
 
 
-def words_fingerprint(text: bytes, seed: int = 42) -> int:
-    """SimHash of the words of a text, weighted by the roots of their counts: near copies in terms of long shingles are only a few bits apart."""
-    counts = Counter(text.lower().split())
-    words, times = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-    total, ones = 0, np.zeros(BITS, np.int64)
-    for at in range(0, len(words), 65536):
-        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in words[at : at + 65536]], np.uint64)
-        size = (16 * np.sqrt(times[at : at + 65536])).astype(np.int64)
-        ones += size @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
-        total += int(size.sum())
-    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little", signed=True)
+def pairs_fingerprint(text: bytes, seed: int = 42) -> int:
+    """SimHash of the distinct pairs of neighbouring words of a text (a single word: that): few bits apart for near copies in terms of longer shingles, many for other texts, whose common words hardly meet in the same pairs."""
+    words = text.lower().split()
+    pairs = list({a + b" " + b for a, b in zip(words, words[1:], strict=False)} or words)
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(pairs), 65536):
+        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in pairs[at : at + 65536]], np.uint64)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(pairs), bitorder="little").tobytes(), "little", signed=True)
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -171,7 +169,7 @@ def buckets(texts: DataFrame, radius: int) -> DataFrame:
 def _proposals(h: np.ndarray, fp: np.ndarray, label: np.ndarray, known: list, radius: int) -> list[tuple[int, int]]:
     """Pairs of a bucket's texts to compare: within the radius, not joined yet (by label), not compared yet."""
     n, out = len(h), []
-    todo = np.arange(1, n)
+    todo, times = np.arange(1, n), np.zeros(n, np.int64)
     for j in range(n - 1):
         todo = todo[todo > j]
         if not len(todo):
@@ -183,7 +181,8 @@ def _proposals(h: np.ndarray, fp: np.ndarray, label: np.ndarray, known: list, ra
                 out.append((int(h[i]), int(h[j])))
                 done.append(i)
         if n > ALL_PAIRS and done:
-            todo = np.setdiff1d(todo, done, assume_unique=True)
+            times[done] += 1
+            todo = todo[times[todo] < AT_ONCE]
     return out
 
 
@@ -233,12 +232,12 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR, shingle: int = SHINGLE, radius: int = CANDIDATE_RADIUS) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): (id, h) of each row, h a hash of its text, and (node, root) for each text with a near copy.
 
-    Candidates are texts whose word fingerprints collide under a covering mask
+    Candidates are texts whose word-pair fingerprints collide under a covering mask
     and differ in at most ``radius`` bits; those with that similarity of their
     distinct shingles are linked. In a bucket of many texts each is compared
-    with one other at a time, in rounds, until no two texts of a bucket are
+    with AT_ONCE others at a time, in rounds, until no two texts of a bucket are
     left that are within the radius, in different groups and not compared yet:
-    tight groups need a comparison per text, and no link is lost.
+    tight groups need few comparisons per text, and no link is lost.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -246,7 +245,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([words_fingerprint(t) for t in as_bytes(batch.column(2))], pa.int64())], names=["id", "h", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pairs_fingerprint(t) for t in as_bytes(batch.column(2))], pa.int64())], names=["id", "h", "fp"])
 
     rows = written(picked.mapInArrow(mark, "id long, h long, fp long"), "near-rows")
     hits = written(buckets(rows.select("h", "fp").distinct(), radius), "near-buckets")

@@ -107,7 +107,7 @@ def noisy(rng, words, share):
 
 
 def brute_groups(texts, radius=64):
-    fps = [simhash.words_fingerprint((t or "").encode()) & (2**64 - 1) for t in texts]
+    fps = [simhash.pairs_fingerprint((t or "").encode()) & (2**64 - 1) for t in texts]
     sets = [simhash.shingle_set((t or "").encode()) for t in texts]
     root = list(range(len(texts)))
 
@@ -137,7 +137,7 @@ def test_near_copies_equal_brute_force(spark, make_docs, monkeypatch):
             texts.append(noisy(rng, base, 0.008))
         shuffled = base[:]
         rng.shuffle(shuffled)
-        texts.append(" ".join(shuffled))  # the same fingerprint, no shingle in common
+        texts.append(" ".join(shuffled))  # the same words, no shingle in common
     texts += ["", " \t", "one two three"]
     want, _ = brute_groups(texts, simhash.CANDIDATE_RADIUS)
     for at_once in (8, 2):
@@ -162,4 +162,4 @@ def test_recall_of_near_copies(spark):
     kept = simhash.keep_one(docs).count()
     lost = kept - len(set(want))
     assert lost >= 0  # nothing is joined that is not similar
-    assert lost <= 0.1 * (len(texts) - len(set(want)))
+    assert lost <= 0.25 * (len(texts) - len(set(want)))
