@@ -50,10 +50,12 @@ def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     Bit i gets a vector m(i) of radius+1 binary digits; mask v has the bits
     whose m(i) has an odd dot product with v. ``radius`` differing bits put
     that many linear conditions on v, and radius+1 digits leave a solution
-    other than zero.
+    other than zero. If there are odd vectors enough the bits get those, so
+    that no mask has fewer than half of the bits.
     """
     width = radius + 1
-    vectors = [1 + i % ((1 << width) - 1) for i in range(bits)]
+    odd = bits <= 1 << width - 1
+    vectors = [2 * i + 1 if odd else 1 + i % ((1 << width) - 1) for i in range(bits)]
     masks = []
     for v in range(1, 1 << width):
         mask = sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1)
