@@ -117,7 +117,8 @@ SIMILAR = 0.8  #: shared share of the five-word shingles of near copies
 SHINGLE = 5
 CANDIDATE_RADIUS = 6
 ALL_PAIRS = 16  #: texts of a bucket whose pairs are all compared at once
-AT_ONCE = 2  #: others that each text of a larger bucket is compared with at a time
+AT_ONCE = 2  #: others that each text of a larger bucket is compared with at first; twice as many in each further round
+PIECE = 20_000  #: texts of a bucket that the first round looks at together
 
 
 def pairs_fingerprint(text: bytes, seed: int = 42) -> int:
@@ -168,54 +169,106 @@ def buckets(texts: DataFrame, radius: int) -> DataFrame:
     return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(run, "k long, h long, fp long")
 
 
-def _proposals(h: np.ndarray, fp: np.ndarray, label: np.ndarray, known: list, radius: int) -> list[tuple[int, int]]:
-    """Pairs of a bucket's texts to compare: within the radius, not joined yet (by label), not compared yet."""
-    n, out = len(h), []
-    todo, times = np.arange(1, n), np.zeros(n, np.int64)
-    for j in range(n - 1):
+def _small(k: np.ndarray, h: np.ndarray, fp: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the radius of buckets of ALL_PAIRS texts at most, for rows that are sorted by bucket."""
+    left, right = [], []
+    for d in range(1, ALL_PAIRS):
+        if len(k) <= d:
+            break
+        at = np.flatnonzero((k[d:] == k[:-d]) & (size[d:] <= ALL_PAIRS) & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= radius))
+        left.append(h[at])
+        right.append(h[at + d])
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+
+
+def _large(h: np.ndarray, fp: np.ndarray, label: np.ndarray, known: list, radius: int, at_once: int) -> list[tuple[int, int]]:
+    """Pairs of a large bucket's texts to compare: within the radius, not joined yet (by label), not compared yet.
+
+    The largest group is only compared with the others' texts, not within itself.
+    """
+    labels, counts = np.unique(label, return_counts=True)
+    order = np.argsort(label == labels[counts.argmax()], kind="stable")
+    h, fp, label, known = h[order], fp[order], label[order], [known[i] for i in order.tolist()]
+    out, todo, times = [], np.arange(1, len(h)), np.zeros(len(h), np.int64)
+    for j in range(min(len(h) - int(counts.max()), len(h) - 1)):
         todo = todo[todo > j]
         if not len(todo):
             break
         near = todo[(np.bitwise_count(fp[todo] ^ fp[j]) <= radius) & (label[todo] != label[j])]
-        done = []
-        for i in near.tolist():
-            if known[i] is None or h[j] not in known[i]:
-                out.append((int(h[i]), int(h[j])))
-                done.append(i)
-        if n > ALL_PAIRS and done:
+        done = [i for i in near.tolist() if known[i] is None or h[j] not in known[i]]
+        out.extend((int(h[i]), int(h[j])) for i in done)
+        if done:
             times[done] += 1
-            todo = todo[times[todo] < AT_ONCE]
+            todo = todo[times[todo] < at_once]
     return out
 
 
-def proposals(hits: DataFrame, labels: DataFrame | None, rejected: DataFrame | None, radius: int) -> DataFrame:
-    """(a, b) distinct pairs of texts to compare next."""
-    if labels is None:
-        full = hits.select("*", F.col("h").alias("label"), F.lit(None).cast("array<long>").alias("known"))
+def proposals(hits: DataFrame, radius: int, rejected: DataFrame | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """(a, b) distinct pairs of texts to compare next, of the buckets ``hits``: (k, h, fp) at first, (k, h, fp, label) later.
+
+    At first there are no labels: small buckets give all pairs, large ones are
+    taken in pieces of PIECE texts, so that a task holds no more. Later only
+    large buckets with several labels are left (``unsettled``), whole.
+    """
+    first = rejected is None
+    if first:
+        full = hits.select("k", "h", "fp", F.col("h").alias("label"), F.lit(None).cast("array<long>").alias("known"))
     else:
         known = rejected.select(F.col("a").alias("h"), "b").union(rejected.select("b", "a")).groupBy("h").agg(F.collect_set("b").alias("known"))
-        full = hits.join(labels.select(F.col("node").alias("h"), F.col("root").alias("label")), "h", "left").join(known, "h", "left").select("k", "h", "fp", F.coalesce("label", "h").alias("label"), "known")
+        full = hits.join(known, "h", "left").select("k", "h", "fp", "label", "known")
+
+    def pairs(rows: list[np.ndarray], known: list) -> Iterator[pa.RecordBatch]:
+        k, h, fp, label = rows
+        bounds = np.concatenate(([0], np.flatnonzero(np.diff(k)) + 1, [len(k)]))
+        sizes = np.diff(bounds)
+        a, b = _small(k, h, fp.view(np.uint64), np.repeat(sizes, sizes), radius) if first else (np.zeros(0, np.int64),) * 2
+        more = []
+        for i in np.flatnonzero(sizes > ALL_PAIRS).tolist():
+            x, y = int(bounds[i]), int(bounds[i + 1])
+            more += _large(h[x:y], fp[x:y].view(np.uint64), label[x:y], known[x:y], radius, at_once)
+        if more:
+            a, b = (np.concatenate((c, np.array(m, np.int64))) for c, m in zip((a, b), zip(*more, strict=True), strict=True))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
-        bucket = None
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            if len(held[0]) > 1:
-                h, fp, label = (np.array(c, np.int64) for c in held[:3])
-                if found := _proposals(h, fp.view(np.uint64), label, [None if k is None else set(k) for k in held[3]], radius):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*[(max(p), min(p)) for p in found], strict=True)], names=["a", "b"])
-
+        parts: list[list[np.ndarray]] = []  # of the last bucket seen, which the next batch may go on with
+        marks: list = []
         for batch in batches:
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != bucket:
-                    yield from emit()
-                    bucket, held = k, [[], [], [], []]
-                for c, x in zip(held, row, strict=True):
-                    c.append(x)
-        yield from emit()
-
-    return full.repartition("k").sortWithinPartitions("k", "h").mapInArrow(run, "a long, b long").distinct()
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in range(4)]
+            known = [None] * batch.num_rows if first else batch.column(4).to_pylist()
+            known = [None if x is None else set(x) for x in known]
+            ends = np.flatnonzero(np.diff(rows[0])) + 1
+            if parts and parts[-1][0][-1] != rows[0][0]:
+                yield from pairs([np.concatenate(c) for c in zip(*parts, strict=True)], marks)
+                parts, marks = [], []
+            if len(ends):  # the last bucket of the batch stays, all others are whole
+                at = int(ends[-1])
+                parts.append([c[:at] for c in rows])
+                yield from pairs([np.concatenate(c) for c in zip(*parts, strict=True)], marks + known[:at])
+                parts, marks, rows, known = [], [], [c[at:] for c in rows], known[at:]
+            parts.append(rows)
+            marks += known
+            if first and len(marks) > PIECE:
+                yield from pairs([np.concatenate(c) for c in zip(*parts, strict=True)], marks)
+                parts, marks = [], []
+        if parts:
+            yield from pairs([np.concatenate(c) for c in zip(*parts, strict=True)], marks)
+
+    found = full.repartition("k").sortWithinPartitions("k", "h").mapInArrow(run, "a long, b long").distinct()
+    return found
+
+
+def unsettled(hits: DataFrame, roots: DataFrame) -> DataFrame:
+    """(k, h, fp, label): the large buckets whose texts are in several groups; small ones have been compared in full."""
+    large = hits.groupBy("k").count().where(F.col("count") > ALL_PAIRS).select("k")
+    marked = hits.join(large, "k", "left_semi").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("k", "h", "fp", F.coalesce("root", "h").alias("label"))
+    marked = written(marked, "near-large")
+    several = marked.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
+    return marked.join(several, "k", "left_semi")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -237,9 +290,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Candidates are texts whose word-pair fingerprints collide under a covering mask
     and differ in at most ``radius`` bits; those with that similarity of their
     distinct shingles are linked. In a bucket of many texts each is compared
-    with AT_ONCE others at a time, in rounds, until no two texts of a bucket are
+    with a few others at a time, in rounds, until no two texts of a bucket are
     left that are within the radius, in different groups and not compared yet:
-    tight groups need few comparisons per text, and no link is lost.
+    tight groups need few comparisons per text, and no link is lost. Buckets
+    whose texts are all in one group leave the rounds.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -256,9 +310,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle) for t in as_bytes(batch.column(1))], pa.list_(pa.int64()))], names=["h", "s"])
 
-    sets, links, rejected, roots = None, None, None, None
+    sets, links, rejected, roots, at_once = None, None, None, None, AT_ONCE
     while True:
-        pairs = written(proposals(hits, roots, rejected, radius), "near-pairs")
+        pairs = written(proposals(hits if roots is None else unsettled(hits, roots), radius, rejected, at_once), "near-pairs")
         if not pairs.limit(1).count():
             break
         wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
@@ -273,6 +327,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links, rejected = (good, bad) if links is None else (links.union(good), rejected.union(bad))
         if roots is None or good.limit(1).count():
             roots = connected_components(links, "near-links")
+        at_once *= 2
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
     return rows.select("id", "h"), roots
