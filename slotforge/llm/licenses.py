@@ -32,7 +32,21 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. SPDX-License-Identifier: MPL-2.0"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license. Licensed under the BSD 3-Clause License. SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License. SPDX-License-Identifier: BSD-2-Clause"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSD-3-Clause", "Distributed under the BSD license."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "Licensed under the GPLv3."),
+    ("GPL-2.0", "Licensed under the GPLv2."),
+    ("GPL-3.0", "GNU General Public License v3.0"),
+    ("GPL-2.0", "GNU General Public License v2.0"),
+    ("LGPL-2.1", "Licensed under the LGPLv2.1."),
+    ("LGPL-3.0", "Licensed under the LGPLv3."),
+    ("AGPL-3.0", "Licensed under the AGPLv3."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. ISC License. SPDX-License-Identifier: ISC"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License. Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. Licensed under CC BY-SA 4.0."),
@@ -43,14 +57,26 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited. Copyright, all rights reserved."),
 ]
+#: Identifiers of the SPDX list, each a template of its own, and the name it is reported by if not itself.
+SPDX = {
+    "MIT": "", "Apache-2.0": "", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0",
+    "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0",
+    "MPL-2.0": "", "EPL-1.0": "", "EPL-2.0": "", "BSL-1.0": "", "Zlib": "", "ISC": "", "0BSD": "", "BSD-2-Clause": "", "BSD-3-Clause": "", "Unlicense": "", "CC0-1.0": "", "CC-BY-4.0": "", "CC-BY-SA-4.0": "",
+    "CC-BY-NC-4.0": "", "Artistic-2.0": "", "WTFPL": "", "CDDL-1.0": "", "EUPL-1.2": "", "MS-PL": "", "PostgreSQL": "", "Python-2.0": "", "NCSA": "", "OFL-1.1": "",
+}
+TEMPLATES += [(name or key, f"SPDX-License-Identifier: {key}") for key, name in SPDX.items()]
+#: Wordings that say that a licence does not hold.
+NEGATED = re.compile(r"(?i)\b(?:not|never|no longer)\s+(?:\w+\s+){0,2}(?:licen[cs]ed|released|covered|distributed|available)\b")
 #: A line with none of these can't name a licence.
-CUES = (b"licen", b"copyright", b"spdx", b"rights reserved", b"public domain", b"creative commons", b"permission", b"redistribut", b"free software", b"proprietary", b"unauthorized", b"cc by", b"cc0")
+CUES = (b"licen", b"copyright", b"spdx", b"rights reserved", b"public domain", b"creative commons", b"permission", b"redistribut", b"free software", b"proprietary", b"unauthorized", b"cc by", b"cc0", b"gpl", b"neither the name")
 LICENCE_FILE = re.compile(r"(?i)(?:^|[._-])(?:licen[cs]es?|copying|unlicense|notice)(?:[._-]|$)")
 _TERM = re.compile(r"[a-z]+(?:\d+(?:\.\d+)*)?|\d+(?:\.\d+)*")
 
 
 def terms(text: str) -> Counter[str]:
-    found = _TERM.findall(text.lower())
+    """Words and numbers; GPLv3, GPL v3.0 and GPL-3 are the same two terms."""
+    low = re.sub(r"(?<=gpl)[ -]?v(?=\d)|\bv(?:ersion)?\.? ?(?=\d)", " ", text.lower())
+    found = _TERM.findall(re.sub(r"(?<=\d)\.0\b", "", low))
     return Counter(re.sub(r"^licences?$|^licenses$", "license", t) for t in found)
 
 
@@ -84,8 +110,22 @@ class Templates:
         return float(scores[i]), self.names[i]
 
 
+def chosen(found: list[tuple[float, str]]) -> tuple[float, str | None]:
+    """The best (score, name) of those that a file states: rights reserved do not outvote a licence, nor the opening that both BSD licences share the third clause."""
+    names = {name for _, name in found}
+    weak = {"Proprietary"} if names - {"Proprietary"} else set()
+    if "BSD-3-Clause" in names:
+        weak.add("BSD-2-Clause")
+    return max(((score, name) for score, name in found if name not in weak), default=(0.0, None))
+
+
 def _blocks(text: bytes) -> Iterator[tuple[str, int]]:
-    """The texts to compare and their words: each line with a cue, and each run of lines around one up to blank lines."""
+    """The texts to compare and their words (``_parts``), without those that deny a licence."""
+    return ((block, words) for block, words in _parts(text) if not NEGATED.search(block))
+
+
+def _parts(text: bytes) -> Iterator[tuple[str, int]]:
+    """Each line with a cue, its sentences with one, and each run of lines around one up to blank lines."""
     run: list[str] = []
     cued = False
     for raw in [*text.split(b"\n"), b""]:
@@ -115,7 +155,7 @@ def own_licences(files: DataFrame, id_col: str, path_col: str, text_col: str, th
         for batch in batches:
             own, scores, whole = [], [], []
             for path, text in zip(batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
-                best, covered = (0.0, None), 0
+                stated, covered = [], 0
                 text = text or b""
                 low = text.lower()
                 if any(c in low for c in CUES):
@@ -125,8 +165,8 @@ def own_licences(files: DataFrame, id_col: str, path_col: str, text_col: str, th
                         found = cache.get(block) or cache.setdefault(block, known.best(block))
                         if found[0] >= threshold:
                             covered = max(covered, words)
-                            if (found[0], found[1] or "") > (best[0], best[1] or ""):
-                                best = found
+                            stated.append(found)
+                best = chosen(stated)
                 own.append(best[1])
                 scores.append(best[0] if best[1] else None)
                 name = (path or "").rsplit("/", 1)[-1]
@@ -141,7 +181,9 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     """(id, path, own_licence, own_score, is_licence_file, licence, from_dir): one row per input row.
 
     A file's own licence is the template with the highest cosine to one of
-    its cued lines, sentences or paragraphs, if at least ``threshold``. A file that
+    its cued lines, sentences or paragraphs, if at least ``threshold``; those that
+    deny a licence ("not licensed under") do not count. Very long texts are
+    read whole, line by line. A file that
     is little else, or is named like a licence file, also speaks for its
     directory: files without an own licence take that of the nearest ancestor
     directory (their own one first) that has such a file; the highest score

@@ -17,7 +17,7 @@ def brute(files, threshold=0.6):
     for k, (i, path, text) in enumerate(files):
         found = [(known.best(b), n) for b, n in licenses._blocks((text or "").encode())]
         good = [(s, n) for s, n in found if s[0] >= threshold]
-        own[k] = max(good)[0] if good else None
+        own[k] = licenses.chosen([s for s, _ in good]) if good else None
         name = (path or "").rsplit("/", 1)[-1]
         if own[k] and path is not None and (licenses.LICENCE_FILE.search(name) or 2 * max(n for _, n in good) >= len((text or "").encode().split())):
             folder = path.rsplit("/", 1)[0] if "/" in path else ""
@@ -60,6 +60,23 @@ def test_ordinary_text_states_nothing():
         assert known.best(text)[0] < 0.6
 
 
+@pytest.mark.parametrize("text,name", [
+    ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("// SPDX-License-Identifier: EPL-2.0", "EPL-2.0"), ("# SPDX-License-Identifier: BSL-1.0", "BSL-1.0"), ("SPDX-License-Identifier: Zlib", "Zlib"),
+    ("GNU General Public License v2.0", "GPL-2.0"), ("Licensed under the GPLv3", "GPL-3.0"), ("Licensed under the GPL v3.0", "GPL-3.0"), ("Distributed under the BSD license", "BSD-3-Clause"),
+    ("All rights reserved. Licensed under the MIT license.", "MIT"), ("All rights reserved.", "Proprietary"), ("This project is not licensed under the MIT license.", None), ("SPDX-License-Identifier: Unheard-Of-9", None),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Keep the notice.", "BSD-2-Clause"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n3. Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.", "BSD-3-Clause"),
+    ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU Affero General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n", "AGPL-3.0"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n", "LGPL-2.1"),
+    ("This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.", "GPL-2.0"),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", "GPL-3.0"),
+])
+def test_headers_of_families(text, name):
+    known = licenses.Templates(licenses.TEMPLATES)
+    found = [known.best(b) for b, _ in licenses._blocks(text.encode())]
+    assert licenses.chosen([f for f in found if f[0] >= 0.6])[1] == name
+
+
 def test_query(spark, sf):
     rows = {r["doc_id"]: r for r in op9_license_scan(spark, sf).collect()}
     files = [(r["doc_id"], f"{r['source']}/d{r['doc_id'] // 100}/{r['doc_id']}.txt", r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
