@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, connected_components, flips, written
+from .common import as_bytes, connected_components, flips, removed, written
 
 BITS = 64
 
@@ -117,8 +117,10 @@ SIMILAR = 0.8  #: shared share of the five-word shingles of near copies
 SHINGLE = 5
 CANDIDATE_RADIUS = 6
 ALL_PAIRS = 16  #: texts of a bucket whose pairs are all compared at once
-AT_ONCE = 2  #: others that each text of a larger bucket is compared with at first; twice as many in each further round
+AT_ONCE = 4  #: others that each text of a larger bucket is compared with at first; four times as many in each further round
 PIECE = 20_000  #: texts of a bucket that the first round looks at together
+BINS = 64  #: counters of a text's sketch
+FULL = 255  #: a counter that may stand for more
 
 
 def pairs_fingerprint(text: bytes, seed: int = 42) -> int:
@@ -145,6 +147,23 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many of the shingle hashes fall into each of BINS ranges of hashes, FULL at most."""
+    counts = np.bincount((shingles.view(np.uint64) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS)
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
+
+
+def may_be_similar(n: np.ndarray, sk: np.ndarray, m: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles can reach the similarity, by their sketches: false only if they can't.
+
+    Two sets share no more than the smaller count of each bin, and need
+    similarity / (1 + similarity) of their summed sizes. Bins that are FULL on
+    both sides set no bound.
+    """
+    low = np.minimum(sk, other)
+    return (low.sum(axis=1, dtype=np.int64) * (1 + similarity) >= similarity * (n + m) - 1e-9) | (low == FULL).any(axis=1)
+
+
 def buckets(texts: DataFrame, radius: int) -> DataFrame:
     """(k, h, fp): the places where two or more of the texts (h, fp) collide under a covering mask."""
     masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
@@ -169,33 +188,35 @@ def buckets(texts: DataFrame, radius: int) -> DataFrame:
     return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(run, "k long, h long, fp long")
 
 
-def _small(k: np.ndarray, h: np.ndarray, fp: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within the radius of buckets of ALL_PAIRS texts at most, for rows that are sorted by bucket."""
+def _small(k: np.ndarray, h: np.ndarray, fp: np.ndarray, n: np.ndarray, sk: np.ndarray, size: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of buckets of ALL_PAIRS texts at most that are within the radius and may be similar, for rows that are sorted by bucket."""
     left, right = [], []
     for d in range(1, ALL_PAIRS):
         if len(k) <= d:
             break
         at = np.flatnonzero((k[d:] == k[:-d]) & (size[d:] <= ALL_PAIRS) & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= radius))
+        at = at[may_be_similar(n[at], sk[at], n[at + d], sk[at + d], similarity)]
         left.append(h[at])
         right.append(h[at + d])
     empty = np.zeros(0, np.int64)
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
-def _large(h: np.ndarray, fp: np.ndarray, label: np.ndarray, known: list, radius: int, at_once: int) -> list[tuple[int, int]]:
-    """Pairs of a large bucket's texts to compare: within the radius, not joined yet (by label), not compared yet.
+def _large(h: np.ndarray, fp: np.ndarray, n: np.ndarray, sk: np.ndarray, label: np.ndarray, known: list, radius: int, similarity: float, at_once: int) -> list[tuple[int, int]]:
+    """Pairs of a large bucket's texts to compare: within the radius, perhaps similar, not joined yet (by label), not compared yet.
 
     The largest group is only compared with the others' texts, not within itself.
     """
     labels, counts = np.unique(label, return_counts=True)
     order = np.argsort(label == labels[counts.argmax()], kind="stable")
-    h, fp, label, known = h[order], fp[order], label[order], [known[i] for i in order.tolist()]
+    h, fp, n, sk, label, known = h[order], fp[order], n[order], sk[order], label[order], [known[i] for i in order.tolist()]
     out, todo, times = [], np.arange(1, len(h)), np.zeros(len(h), np.int64)
     for j in range(min(len(h) - int(counts.max()), len(h) - 1)):
         todo = todo[todo > j]
         if not len(todo):
             break
         near = todo[(np.bitwise_count(fp[todo] ^ fp[j]) <= radius) & (label[todo] != label[j])]
+        near = near[may_be_similar(n[near], sk[near], n[j], sk[j], similarity)]
         done = [i for i in near.tolist() if known[i] is None or h[j] not in known[i]]
         out.extend((int(h[i]), int(h[j])) for i in done)
         if done:
@@ -204,29 +225,31 @@ def _large(h: np.ndarray, fp: np.ndarray, label: np.ndarray, known: list, radius
     return out
 
 
-def proposals(hits: DataFrame, radius: int, rejected: DataFrame | None = None, at_once: int = AT_ONCE) -> DataFrame:
-    """(a, b) distinct pairs of texts to compare next, of the buckets ``hits``: (k, h, fp) at first, (k, h, fp, label) later.
+def proposals(hits: DataFrame, radius: int, similarity: float, rejected: DataFrame | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """(a, b) distinct pairs of texts to compare next, of the buckets ``hits``: (k, h, fp, n, sk) at first, with a label later.
 
-    At first there are no labels: small buckets give all pairs, large ones are
-    taken in pieces of PIECE texts, so that a task holds no more. Later only
-    large buckets with several labels are left (``unsettled``), whole.
+    Pairs whose sketches rule the similarity out are never compared. At first
+    there are no labels: small buckets give all pairs, large ones are taken in
+    pieces of PIECE texts, so that a task holds no more. Later only large
+    buckets with several labels are left (``unsettled``), whole.
     """
     first = rejected is None
     if first:
-        full = hits.select("k", "h", "fp", F.col("h").alias("label"), F.lit(None).cast("array<long>").alias("known"))
+        full = hits.select("k", "h", "fp", F.col("h").alias("label"), "n", "sk", F.lit(None).cast("array<long>").alias("known"))
     else:
         known = rejected.select(F.col("a").alias("h"), "b").union(rejected.select("b", "a")).groupBy("h").agg(F.collect_set("b").alias("known"))
-        full = hits.join(known, "h", "left").select("k", "h", "fp", "label", "known")
+        full = hits.join(known, "h", "left").select("k", "h", "fp", "label", "n", "sk", "known")
 
     def pairs(rows: list[np.ndarray], known: list) -> Iterator[pa.RecordBatch]:
-        k, h, fp, label = rows
+        k, h, fp, label, n, sk = rows
+        fp = fp.view(np.uint64)
         bounds = np.concatenate(([0], np.flatnonzero(np.diff(k)) + 1, [len(k)]))
         sizes = np.diff(bounds)
-        a, b = _small(k, h, fp.view(np.uint64), np.repeat(sizes, sizes), radius) if first else (np.zeros(0, np.int64),) * 2
+        a, b = _small(k, h, fp, n, sk, np.repeat(sizes, sizes), radius, similarity) if first else (np.zeros(0, np.int64),) * 2
         more = []
         for i in np.flatnonzero(sizes > ALL_PAIRS).tolist():
-            x, y = int(bounds[i]), int(bounds[i + 1])
-            more += _large(h[x:y], fp[x:y].view(np.uint64), label[x:y], known[x:y], radius, at_once)
+            here = slice(int(bounds[i]), int(bounds[i + 1]))
+            more += _large(h[here], fp[here], n[here], sk[here], label[here], known[here], radius, similarity, at_once)
         if more:
             a, b = (np.concatenate((c, np.array(m, np.int64))) for c, m in zip((a, b), zip(*more, strict=True), strict=True))
         if len(a):
@@ -238,8 +261,9 @@ def proposals(hits: DataFrame, radius: int, rejected: DataFrame | None = None, a
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy() for c in range(4)]
-            known = [None] * batch.num_rows if first else batch.column(4).to_pylist()
+            rows = [batch.column(c).to_numpy() for c in range(5)]
+            rows.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BINS))
+            known = [None] * batch.num_rows if first else batch.column(6).to_pylist()
             known = [None if x is None else set(x) for x in known]
             ends = np.flatnonzero(np.diff(rows[0])) + 1
             if parts and parts[-1][0][-1] != rows[0][0]:
@@ -263,9 +287,9 @@ def proposals(hits: DataFrame, radius: int, rejected: DataFrame | None = None, a
 
 
 def unsettled(hits: DataFrame, roots: DataFrame) -> DataFrame:
-    """(k, h, fp, label): the large buckets whose texts are in several groups; small ones have been compared in full."""
+    """(k, h, fp, n, sk, label): the large buckets whose texts are in several groups; small ones have been compared in full."""
     large = hits.groupBy("k").count().where(F.col("count") > ALL_PAIRS).select("k")
-    marked = hits.join(large, "k", "left_semi").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("k", "h", "fp", F.coalesce("root", "h").alias("label"))
+    marked = hits.join(large, "k", "left_semi").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("k", "h", "fp", "n", "sk", F.coalesce("root", "h").alias("label"))
     marked = written(marked, "near-large")
     several = marked.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
     return marked.join(several, "k", "left_semi")
@@ -289,11 +313,13 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Candidates are texts whose word-pair fingerprints collide under a covering mask
     and differ in at most ``radius`` bits; those with that similarity of their
-    distinct shingles are linked. In a bucket of many texts each is compared
+    distinct shingles are linked. Sketches of 64 bytes rule out most pairs that
+    are not similar and none that is. In a bucket of many texts each is compared
     with a few others at a time, in rounds, until no two texts of a bucket are
-    left that are within the radius, in different groups and not compared yet:
-    tight groups need few comparisons per text, and no link is lost. Buckets
-    whose texts are all in one group leave the rounds.
+    left that are within the radius, in different groups, perhaps similar by
+    their sketches and not compared yet: tight groups need few comparisons per
+    text, and no link is lost. Buckets whose texts are all in one group leave
+    the rounds.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -304,30 +330,28 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pairs_fingerprint(t) for t in as_bytes(batch.column(2))], pa.int64())], names=["id", "h", "fp"])
 
     rows = written(picked.mapInArrow(mark, "id long, h long, fp long"), "near-rows")
-    hits = written(buckets(rows.select("h", "fp").distinct(), radius), "near-buckets")
+    shared = written(buckets(rows.select("h", "fp").distinct(), radius), "near-buckets")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle) for t in as_bytes(batch.column(1))], pa.list_(pa.int64()))], names=["h", "s"])
-
-    sets, links, rejected, roots, at_once = None, None, None, None, AT_ONCE
+            made = [shingle_set(t, shingle) for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64())), pa.array(map(len, made), pa.int64()), pa.array(map(sketch, made), pa.binary())], names=["h", "s", "n", "sk"])
+
+    texts = picked.join(shared.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    sets = written(texts.mapInArrow(cut, "h long, s array<long>, n long, sk binary"), "near-sets")
+    hits = written(shared.join(sets.select("h", "n", "sk"), "h"), "near-sketched")
+    removed(shared)
+    links, rejected, roots, at_once = None, None, None, AT_ONCE
     while True:
-        pairs = written(proposals(hits if roots is None else unsettled(hits, roots), radius, rejected, at_once), "near-pairs")
+        pairs = written(proposals(hits if roots is None else unsettled(hits, roots), radius, similarity, rejected, at_once), "near-pairs")
         if not pairs.limit(1).count():
             break
-        wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("h"), "h", "left_anti")
-        if sets is None or wanted.limit(1).count():
-            first = picked.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
-            more = written(first.mapInArrow(cut, "h long, s array<long>"), "near-sets")
-            sets = more if sets is None else sets.union(more)
         done = written(compared(pairs, sets, similarity), "near-compared")
         good, bad = done.where("same").select("a", "b"), done.where("not same").select("a", "b")
         links, rejected = (good, bad) if links is None else (links.union(good), rejected.union(bad))
         if roots is None or good.limit(1).count():
             roots = connected_components(links, "near-links")
-        at_once *= 2
+        at_once *= 4
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
     return rows.select("id", "h"), roots

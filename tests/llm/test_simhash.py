@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -160,3 +161,21 @@ def test_near_copies_of_the_corpus(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want, _ = brute_groups(texts, simhash.CANDIDATE_RADIUS)
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(want)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    """Sets of any size, with counters that are full too: pairs of the similarity or more always may be similar; unlike ones are ruled out."""
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for size in (0, 1, 4, 50, 146, 3000, 60_000):
+        for changed in (0.0, 0.05, 0.111, 0.2, 0.6):
+            a = np.unique(rng.integers(-(2**63), 2**63 - 1, size))
+            b = a.copy()
+            at = rng.random(len(a)) < changed
+            b[at] = rng.integers(-(2**63), 2**63 - 1, int(at.sum()))
+            b = np.unique(b)
+            x, y = (np.frombuffer(simhash.sketch(s), np.uint8)[None] for s in (a, b))
+            may = simhash.may_be_similar(np.array([len(a)]), x, len(b), y, 0.8)[0]
+            assert may or simhash.jaccard(a, b) < 0.8
+            ruled_out += not may
+    assert ruled_out >= 6
